@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from textloom.llm import mixing, pii, quality, sharding
+from textloom.llm import chat, mixing, pii, quality, sharding, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_simhash": simhash.op3_simhash,
     "op4_pii": pii.op4_pii,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_sharding": sharding.op7_sharding,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op6_chat_formatting": chat.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
