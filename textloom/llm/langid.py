@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.hashing import code_points, hashes
 from textloom.llm.tables import table
 from textloom.session import ship
 
@@ -51,19 +52,8 @@ def grams(text: str) -> list[str]:
     return out
 
 
-def hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of the n code points that end at each place (places before n - 1 are of no use)."""
-    out = np.full(len(codes), n, dtype=np.uint64)
-    for back in reversed(range(n)):
-        shifted = np.zeros(len(codes), dtype=np.uint64)
-        shifted[back:] = codes[: len(codes) - back]
-        out = (out ^ (shifted + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
-        out ^= out >> np.uint64(32)
-    return out
-
-
 def _hash(gram: str) -> int:
-    return int(hashes(np.array([ord(c) for c in gram], dtype=np.uint64), len(gram))[-1])
+    return int(hashes(code_points(gram), len(gram))[-1])
 
 
 class Models:
@@ -122,7 +112,7 @@ class Models:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Natural log of each word's probability in each language; a word counts len + 1 characters."""
         text = "".join(START + w + END for w in words)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        codes = code_points(text)
         sizes = np.array([len(w) + 2 for w in words])
         starts = np.cumsum(sizes) - sizes
         depth = np.arange(len(codes)) - np.repeat(starts, sizes)  # characters before, within the word

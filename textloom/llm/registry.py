@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, chat, langid, mixing, pii, quality, sharding, simhash, topk
+from textloom.llm import bpe, chat, langid, mixing, pii, quality, sharding, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
     "op4_pii": pii.op4_pii,
