@@ -166,8 +166,11 @@ def fit(rows: DataFrame, sample_chars: int = SAMPLE_CHARS, seed: int = SEED) ->
     """rows (text, lang) -> models, or None without any. At most about sample_chars characters a language are counted."""
     ship(rows.sparkSession)
     known = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    shares = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text").cast("long")).alias("chars"))
-    picked = known.join(shares, "lang").withColumn("u", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007)
+    shares = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text").cast("long")).alias("chars")).collect()  # one row a language
+    if not shares:
+        return None
+    of = lambda name: F.create_map(*(F.lit(x) for s in shares for x in (s["lang"], s[name])))[F.col("lang")]  # noqa: E731  a join would deal the texts out by language
+    picked = known.select("lang", "text", of("rows").alias("rows"), of("chars").alias("chars"), (F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007).alias("u"))
     tenth = F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(10)) == 0
     sample = picked.where(~tenth & (F.col("u") * F.col("chars") < sample_chars)).select("lang", "text")
 
