@@ -87,5 +87,5 @@ def overlap(a: DataFrame, b: DataFrame, step: int = 10, limit: int = 501) -> Dat
     ks = list(range(step, min(limit, n), step))
     both = a.select("id", F.col("rank").alias("ra")).join(b.select("id", F.col("rank").alias("rb")), "id").select(F.greatest("ra", "rb").alias("at"))
     counts = both.where(F.col("at") < limit).groupBy("at").agg(F.count("*").alias("n"))  # at most `limit` rows
-    series = a.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ks)) if ks else F.array().cast("array<int>")).cast("long").alias("k"))
+    series = a.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ks)).cast("array<bigint>")).alias("k"))
     return series.join(F.broadcast(counts), counts["at"] <= series["k"], "left").groupBy("k").agg((F.coalesce(F.sum("n"), F.lit(0)) / F.col("k")).alias("overlap"))

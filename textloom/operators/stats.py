@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def heaps_fit(curve: DataFrame, steps: int = 12) -> tuple[float, float, float]:
     seed = heaps_seed(curve).first()
     if seed.beta is None:
         return float("nan"), float("nan"), float("nan")
-    k, beta = float(F_exp(seed.ln_k)), float(seed.beta)
+    k, beta = math.exp(seed.ln_k), float(seed.beta)
     for _ in range(steps):
         p = F.pow("n_tokens", F.lit(beta))
         a, b, r = p, F.lit(k) * p * F.ln("n_tokens"), F.col("n_unique") - F.lit(k) * p
@@ -64,12 +66,6 @@ def heaps_fit(curve: DataFrame, steps: int = 12) -> tuple[float, float, float]:
     return k, beta, 1 - s[0] / s[1] if s[1] else float("nan")
 
 
-def F_exp(x: float) -> float:
-    import math
-
-    return math.exp(x)
-
-
 def min_max(profile: DataFrame, keys: list[str], value: str = "f") -> DataFrame:
     """value scaled to 0..1 within keys; 0.5 where all are equal."""
     own = Window.partitionBy(*keys)

@@ -131,11 +131,11 @@ def rank_bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_of("rank_bm25", spark, sf_dir)
 
 
-# ---- boolean retrieval, over terms of every language of the fixtures
+# ---- boolean retrieval, over frequent terms of the fixtures
 
 EXPRESSIONS = {
-    "bool_and": "para AND como", "bool_or": "para OR dans", "bool_and_not": "para AND NOT como", "bool_not": "NOT para",
-    "bool_and3": "para AND como AND esta", "bool_or_and": "(para OR dans) AND pour", "bool_and_or": "(para AND como) OR dans", "bool_nested": "NOT (para OR dans) AND (nicht OR pour)",
+    "bool_and": "tion AND ther", "bool_or": "tion OR ther", "bool_and_not": "tion AND NOT ther", "bool_not": "NOT tion",
+    "bool_and3": "tion AND ther AND thon", "bool_or_and": "(tion OR ther) AND thon", "bool_and_or": "(tion AND ther) OR thon", "bool_nested": "NOT (tion OR ther) AND (erin OR NOT thon)",
 }
 
 
@@ -165,11 +165,11 @@ for _name, _expression in EXPRESSIONS.items():
     _boolean(_name, _expression)
 
 
-@query(f"WITH {INDEX_SQL} SELECT a.doc_id, a.tf AS tf_a, b.tf AS tf_b FROM post a JOIN post b USING (doc_id) WHERE a.term = 'para' AND b.term = 'como'")
+@query(f"WITH {INDEX_SQL} SELECT a.doc_id, a.tf AS tf_a, b.tf AS tf_b FROM post a JOIN post b USING (doc_id) WHERE a.term = 'tion' AND b.term = 'ther'")
 def postings_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = index(spark, sf_dir)
     one = lambda t, name: rows.where(F.col("term") == t).select("doc_id", F.col("tf").alias(name))
-    return one("para", "tf_a").join(one("como", "tf_b"), "doc_id")
+    return one("tion", "tf_a").join(one("ther", "tf_b"), "doc_id")
 
 
 @query(f"""WITH {INDEX_SQL}, u AS (SELECT turn_id, term, min(pos) AS pos FROM (SELECT conv_id * 1000 + turn AS turn_id, unnest(list_slice(list_filter(regexp_extract_all(lower(text), '[a-záéíóúñü]+'), lambda t: length(t) > 3), 1, 3)) AS term, generate_subscripts(list_slice(list_filter(regexp_extract_all(lower(text), '[a-záéíóúñü]+'), lambda t: length(t) > 3), 1, 3), 1) AS pos FROM conversations WHERE role = 'user') GROUP BY ALL)
