@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 
 from textloom.llm.hashing import code_points, hashes
 from textloom.llm.tables import table
+from textloom.scratch import materialize
 from textloom.session import ship
 
 WINDOW = 32
 STRIDE = 16
 TRAIN_CHARS = 12_000_000
 TRAIN_LONGEST = 200_000
+ROW = 100
 VOCABULARY = 20_000
 LEAST_DOCUMENTS = 4
 PRIOR = 8
@@ -401,16 +403,24 @@ def calibrate(logits: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[floa
     return float(scale), float(w[1] - scale * mean)
 
 
-def fit(labelled: DataFrame, train_chars: int = TRAIN_CHARS, longest: int = TRAIN_LONGEST, seed: int = SEED) -> Network | None:
-    """labelled (text, toxic) -> network, from a sample of at most about train_chars characters."""
-    usable = labelled.where("text IS NOT NULL AND toxic IN (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic")).where(F.length("text") <= longest)
-    sizes = {r.toxic: r.chars for r in usable.groupBy("toxic").agg(F.sum(F.length("text").cast("long")).alias("chars")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, train_chars: int = TRAIN_CHARS, longest: int = TRAIN_LONGEST, seed: int = SEED) -> Network | None:
+    """docs (doc_id, text) and labels (doc_id, toxic) -> network, from a sample of about train_chars characters.
+
+    Labels meet the texts' lengths and hashes, not the texts. A row counts ROW characters
+    more than it has, so the sample has train_chars / ROW rows at most, give or take the
+    spread of a hash; their ids are broadcast and only their texts leave the scan's tasks.
+    """
+    known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    u = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007
+    sized = docs.where(F.length("text") <= longest).select("doc_id", (F.length("text") + ROW).cast("long").alias("chars"), u.alias("u"))
+    labelled = materialize(sized.join(known, "doc_id"), "labelled")
+    sizes = {r.toxic: r.chars for r in labelled.groupBy("toxic").agg(F.sum("chars").alias("chars")).collect()}
     if len(sizes) < 2:
         return None
     ones = min(sizes[1], max(train_chars // 2, train_chars - sizes[0]))
-    share = {1: ones / sizes[1] if sizes[1] else 1.0, 0: min(1.0, (train_chars - ones) / sizes[0]) if sizes[0] else 1.0}
-    u = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007
-    sample = usable.where(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).groupBy("text").agg(F.max("toxic").alias("toxic"))
+    share = {1: ones / sizes[1], 0: min(1.0, (train_chars - ones) / sizes[0])}
+    chosen = labelled.where(F.col("u") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     rows = sorted((r.text, r.toxic) for r in sample.toLocalIterator())
     return train([t for t, _ in rows], [k for _, k in rows], seed)
 
@@ -449,6 +459,5 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    learnt = docs.join(labels.where(~held_out), "doc_id").select("text", "toxic")
-    found = score(docs.select("doc_id", held_out.alias("held_out"), "text"), fit(learnt))
+    found = score(docs.select("doc_id", held_out.alias("held_out"), "text"), fit(docs, labels.where(~held_out)))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "windows")
