@@ -410,6 +410,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_chars: int = TRAIN_CHARS, long
     more than it has, so the sample has train_chars / ROW rows at most, give or take the
     spread of a hash; their ids are broadcast and only their texts leave the scan's tasks.
     """
+    docs = docs.select("doc_id", "text")
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     u = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007
     sized = docs.where(F.length("text") <= longest).select("doc_id", (F.length("text") + ROW).cast("long").alias("chars"), u.alias("u"))
