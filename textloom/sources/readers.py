@@ -21,9 +21,9 @@ def views(spark: SparkSession, sf_dir: str, names=FIXTURES) -> None:
 
 
 def _files(spark: SparkSession, path: str, glob: str | None, recursive: bool, encoding: str = "UTF-8") -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("encoding", encoding).option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.option("encoding", encoding).option("recursiveFileLookup", str(recursive).lower())
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return reader.text(path).select(F.col("_metadata.file_name").alias("doc_name"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_name"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def text_directory(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
