@@ -78,10 +78,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     ship(vectors.sparkSession)
     n, m = vectors.count(), queries.count()
     blocks, piles = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
-    # dealt by the whole row and a number of its own, so that repeated ids do not meet in one block
+    # dealt by the id and a number of the row's own, so that repeated ids do not meet in one block; before
+    # explode(), since in the same select each copy of a row would get a number of its own and so another place
     number = F.monotonically_increasing_id()
-    left = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", number), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(piles - 1))).alias("pile"))
-    right = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", number), F.lit(piles)).cast("int").alias("pile"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    left = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", number), F.lit(blocks)).alias("block"))
+    left = left.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(piles - 1))).alias("pile"))
+    right = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", number), F.lit(piles)).cast("int").alias("pile"))
+    right = right.select("vec_id", "v", "pile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def cell(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
