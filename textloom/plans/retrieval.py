@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import boolean, evaluation
@@ -12,6 +13,7 @@ from textloom.operators import index as ix
 from textloom.operators import ranking as rk
 from textloom.operators.stats import histogram
 from textloom.plans.base import INDEX_SQL, MATCHED_SQL, QRELS_SQL, TOPICS_SQL, asked, docs, index, log2_sql, matched, norms, qrels, query, shared, topics
+from textloom.scratch import materialize
 from textloom.sources import readers
 
 L2 = log2_sql
@@ -368,16 +370,34 @@ def metric_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 K = 10
+DEPTHS = (10, 25, 50)
 
 
-@query(f"""{CTES}, a AS ({RUN_SQL['rank_tfidf']}), b AS ({RUN_SQL['rank_bm25']}),
-  f AS (SELECT * FROM (SELECT qid, doc_id, a.score AS x, b.score AS y, row_number() OVER (PARTITION BY qid ORDER BY a.score DESC, doc_id) AS r FROM a JOIN b USING (qid, doc_id)) WHERE r <= {K}),
-  g AS (SELECT * FROM f WHERE qid IN (SELECT qid FROM f GROUP BY qid HAVING count(*) = {K})),
+def _correlation_sql(k: int) -> str:
+    return f"""{CTES}, a AS ({RUN_SQL['rank_tfidf']}), b AS ({RUN_SQL['rank_bm25']}),
+  f AS (SELECT * FROM (SELECT qid, doc_id, a.score AS x, b.score AS y, row_number() OVER (PARTITION BY qid ORDER BY a.score DESC, doc_id) AS r FROM a JOIN b USING (qid, doc_id)) WHERE r <= {k}),
+  g AS (SELECT * FROM f WHERE qid IN (SELECT qid FROM f GROUP BY qid HAVING count(*) = {k})),
   h AS (SELECT *, rank() OVER (PARTITION BY qid ORDER BY x DESC) + (count(*) OVER (PARTITION BY qid, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY qid ORDER BY y DESC) + (count(*) OVER (PARTITION BY qid, y) - 1) / 2 AS ry FROM g),
   rh AS (SELECT qid, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS rho FROM h GROUP BY qid),
   ta AS (SELECT p.qid, sum(sign(p.rx - q.rx) * sign(p.ry - q.ry)) / nullif(sqrt(sum(abs(sign(p.rx - q.rx))) * sum(abs(sign(p.ry - q.ry)))), 0) AS tau FROM h p JOIN h q ON p.qid = q.qid AND p.r < q.r GROUP BY p.qid)
-  SELECT qid, round(rho, 6) AS rho, round(tau, 6) AS tau FROM rh JOIN ta USING (qid)""")
+  SELECT qid, round(rho, 6) AS rho, round(tau, 6) AS tau FROM rh JOIN ta USING (qid)"""
+
+
+@query(_correlation_sql(K))
 def model_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spearman's rho and Kendall's tau-b of two models over the first ten documents of one."""
     rows = evaluation.correlation(run_of("rank_tfidf", spark, sf_dir), run_of("rank_bm25", spark, sf_dir), K)
     return rows.select("qid", F.round("rho", 6).alias("rho"), F.round("tau", 6).alias("tau"))
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS top_k, * FROM ({_correlation_sql(k)})" for k in DEPTHS))
+def model_rank_correlation_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the first 10, 25 and 50 documents; a query has no row for a depth that it does not reach."""
+    a, b = (run_of(x, spark, sf_dir) for x in ("rank_tfidf", "rank_bm25"))
+    by_a = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    both = a.join(b.withColumnRenamed("score", "other"), ["qid", "doc_id"])
+    deepest = materialize(both.withColumn("r", F.row_number().over(by_a)).where(F.col("r") <= max(DEPTHS)), "correlated")  # each depth is a prefix of it
+    a, b = deepest.select("qid", "doc_id", "score"), deepest.select("qid", "doc_id", F.col("other").alias("score"))
+    each = [evaluation.correlation(a, b, k).withColumn("top_k", F.lit(k).cast("long")) for k in DEPTHS]
+    rows = reduce(DataFrame.unionByName, each)
+    return rows.select("top_k", "qid", F.round("rho", 6).alias("rho"), F.round("tau", 6).alias("tau"))
