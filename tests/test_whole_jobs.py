@@ -1,5 +1,8 @@
 """Queries that do the whole of what others of their kind do in part."""
 
+import duckdb
+
+from helpers import rows_of
 from textloom.plans import base, retrieval
 
 
@@ -8,3 +11,26 @@ def test_correlation_at_three_depths(spark, small):
     assert {r.top_k for r in rows} == {10, 25, 50}
     ten = {(r.qid, r.rho, r.tau) for r in rows if r.top_k == 10}
     assert ten == {tuple(r) for r in base.QUERIES["model_rank_correlation"](spark, small).select("qid", "rho", "tau").collect()}
+
+
+def test_gate_takes_the_terms_of_whole_log_lines(spark, tmp_path):
+    docs = [(1, "apple banana"), (2, "apple cherry"), (3, "banana cherry"), (4, "apple banana cherry damson")]
+    log = [(1, 0, "user", "apple banana cherry damson"), (1, 1, "user", "the banana, the apple; with banana"), (2, 0, "user", "cherry banana apple"), (3, 0, "user", "apple unknown"), (4, 0, "assistant", "apple banana"), (5, 0, "user", "apple")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(log, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    gate = rows_of(retrieval.query_log_gate_whole(spark, str(tmp_path)).collect(), ["turn_id", "n_terms", "terms"])
+    assert gate == [(1001, 2, "apple banana"), (2000, 3, "apple banana cherry")]
+    found = {}
+    for r in retrieval.query_log_boolean(spark, str(tmp_path)).collect():
+        found.setdefault((r.terms, r.template), set()).add(r.doc_id)
+    assert found == {
+        ("apple banana", "{0} AND {1}"): {1, 4}, ("apple banana", "{0} OR {1}"): {1, 2, 3, 4}, ("apple banana", "{0} AND NOT {1}"): {2},
+        ("apple banana cherry", "{0} AND {1} AND {2}"): {4}, ("apple banana cherry", "({0} OR {1}) AND {2}"): {2, 3, 4}, ("apple banana cherry", "({0} AND {1}) OR {2}"): {1, 2, 3, 4},
+    }
+    for name in ("query_log_gate_whole", "query_log_boolean"):
+        got = base.QUERIES[name](spark, str(tmp_path))
+        want = [tuple(r) for r in con.execute(f"SELECT {', '.join(got.columns)} FROM ({base.SQL[name]})").fetchall()]
+        assert rows_of(got.collect(), got.columns) == sorted(want, key=repr)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text
 from textloom.operators import boolean, evaluation
 from textloom.operators import index as ix
 from textloom.operators import ranking as rk
 from textloom.operators.stats import histogram
-from textloom.plans.base import INDEX_SQL, MATCHED_SQL, QRELS_SQL, TOPICS_SQL, asked, docs, index, log2_sql, matched, norms, qrels, query, shared, topics
+from textloom.plans.base import INDEX_SQL, KEEP_SQL, MATCHED_SQL, QRELS_SQL, TOPICS_SQL, asked, docs, index, log2_sql, matched, norms, qrels, query, shared, topics
 from textloom.scratch import materialize
 from textloom.sources import readers
 
@@ -188,6 +190,41 @@ def query_log_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(F.col("n_terms").isin(2, 3) & (F.col("n_known") == F.col("n_terms"))).select("turn_id", "n_terms", F.array_join("t.term", " ").alias("terms"))
 
 
+_WHOLE_LOG = f"""WITH {INDEX_SQL}, lt AS (SELECT DISTINCT turn_id, term FROM (SELECT conv_id * 1000 + turn AS turn_id, unnest(regexp_extract_all(lower(text), '{text.SPANISH}')) AS term FROM conversations WHERE role = 'user') WHERE {KEEP_SQL}),
+  lg AS (SELECT turn_id, count(*) AS n_terms, string_agg(term, ' ' ORDER BY term) AS terms FROM lt LEFT JOIN voc USING (term) GROUP BY turn_id HAVING count(*) IN (2, 3) AND count(df) = count(*))"""
+
+
+@query(f"{_WHOLE_LOG} SELECT turn_id, n_terms, terms FROM lg")
+def query_log_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines with exactly two or three index terms in the whole turn, all in the vocabulary; terms in their own order, as the reference sorts them."""
+    log = readers.table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))
+    terms = rk.query_terms(log)
+    few = terms.groupBy("qid").agg(F.count("*").alias("n_terms")).where(F.col("n_terms").isin(2, 3))
+    known = terms.join(few, "qid").join(ix.vocabulary(index(spark, sf_dir)).select("term", "df"), "term", "left")
+    lines = known.groupBy("qid", "n_terms").agg(F.count("df").alias("n_known"), F.array_join(F.sort_array(F.collect_list("term")), " ").alias("terms"))
+    return lines.where(F.col("n_known") == F.col("n_terms")).select(F.col("qid").alias("turn_id"), "n_terms", "terms")
+
+
+def _template_sql(template: str) -> str:
+    """A template over the flags t0, t1 and t2, in SQL."""
+    return re.sub(r"\{(\d)\}", r"t\1", template)
+
+
+_TEMPLATES = [(n, t) for n, several in boolean.TEMPLATES.items() for t in several]
+
+
+@query(f"""{_WHOLE_LOG}, ln AS (SELECT DISTINCT n_terms, terms, string_split(terms, ' ') AS w FROM lg),
+  fl AS (SELECT n_terms, terms, doc_id, bool_or(term = w[1]) AS t0, bool_or(term = w[2]) AS t1, coalesce(bool_or(term = w[3]), false) AS t2 FROM ln JOIN post ON list_contains(w, term) GROUP BY ALL)
+  {" UNION ALL ".join(f"SELECT terms, '{t}' AS template, doc_id FROM fl WHERE n_terms = {n} AND ({_template_sql(t)})" for n, t in _TEMPLATES)}""")
+def query_log_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each template query over the terms of accepted lines, once for lines with the same terms."""
+    lines = query_log_gate_whole(spark, sf_dir).select("n_terms", "terms").distinct()
+    asked = lines.select("n_terms", "terms", F.posexplode(F.split("terms", " ")).alias("place", "term"))
+    flags = asked.join(index(spark, sf_dir).select("doc_id", "term"), "term").groupBy("n_terms", "terms", "doc_id").agg(*(F.max(F.col("place") == i).alias(f"t{i}") for i in range(3)))
+    held = F.array(*(F.when((F.col("n_terms") == n) & F.expr(_template_sql(t)), F.lit(t)) for n, t in _TEMPLATES))
+    return flags.select("terms", F.explode(F.array_compact(held)).alias("template"), "doc_id")
+
+
 # ---- physical layout
 
 _NUMBERED = f"WITH {INDEX_SQL}, i AS (SELECT term, doc_id, tf, count(*) OVER (PARTITION BY term) AS df, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS idx FROM post), s AS (SELECT *, CAST(floor(sqrt(df)) AS BIGINT) AS step FROM i), k AS (SELECT term, doc_id, tf, idx, CASE WHEN idx % step = 0 AND idx + step < df THEN idx + step ELSE 0 END AS skip_to FROM s)"
