@@ -1,9 +1,10 @@
 """Queries that do the whole of what others of their kind do in part."""
 
 import duckdb
+import numpy as np
 
 from helpers import rows_of
-from textloom.plans import base, retrieval
+from textloom.plans import base, retrieval, web
 
 
 def test_correlation_at_three_depths(spark, small):
@@ -34,3 +35,38 @@ def test_gate_takes_the_terms_of_whole_log_lines(spark, tmp_path):
         got = base.QUERIES[name](spark, str(tmp_path))
         want = [tuple(r) for r in con.execute(f"SELECT {', '.join(got.columns)} FROM ({base.SQL[name]})").fetchall()]
         assert rows_of(got.collect(), got.columns) == sorted(want, key=repr)
+
+
+def _dense(spark, small):
+    """Node ids and the matrix of links, src to dst."""
+    edges = [(r.src, r.dst) for r in web.graph(spark, small).select("src", "dst").distinct().collect()]
+    ids = sorted({x for e in edges for x in e})
+    place = {x: i for i, x in enumerate(ids)}
+    m = np.zeros((len(ids), len(ids)))
+    for s, d in edges:
+        m[place[s], place[d]] = 1
+    return ids, m
+
+
+def _limits(m):
+    """PageRank as the solution of its equations; hub and authority after many rounds."""
+    n, out = len(m), m.sum(axis=1, keepdims=True)
+    step = np.where(out > 0, m / np.maximum(out, 1), 1 / n)
+    rank = np.linalg.solve(np.eye(n) - 0.85 * step.T, np.full(n, 0.15 / n))
+    hub = np.full(n, 1 / n)
+    for _ in range(3000):
+        authority = m.T @ hub
+        authority /= authority.sum()
+        hub = m @ authority
+        hub /= hub.sum()
+    return rank, hub, authority
+
+
+def test_link_analysis_converges(spark, small):
+    ids, m = _dense(spark, small)
+    rank, hub, authority = _limits(m)
+    found = {r.id: r.score for r in web._pagerank_converged(spark, small).collect()}
+    assert np.abs(np.array([found[i] for i in ids]) - rank).sum() < 1e-8
+    found = {r.id: (r.hub, r.authority) for r in web._hits_converged(spark, small).collect()}
+    assert np.abs(np.array([found[i] for i in ids]) - np.array([hub, authority]).T).sum() < 1e-6
+    assert web.web.pagerank_converged(web.graph(spark, small).limit(0)).count() == 0 == web.web.hits_converged(web.graph(spark, small).limit(0)).count()

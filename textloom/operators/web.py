@@ -162,6 +162,60 @@ def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return hub.join(authority, "id").select("id", "hub", "authority")
 
 
+def pagerank_converged(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-9, most: int = 1000) -> DataFrame:
+    """id and score; rounds as in pagerank() until the L1 change is below tolerance, an error if `most` do not get there.
+
+    What is left is below tolerance * alpha / (1 - alpha) in L1.
+    """
+    links = materialize(edges.distinct(), "links")
+    degree = links.groupBy("src").agg(F.count("*").alias("degree"))
+    every = materialize(nodes(links).join(degree, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")), "nodes")
+    sums = every.agg(F.count("*"), F.sum((F.col("degree") == 0).cast("long"))).first()
+    n = max(sums[0], 1)
+    loose = (sums[1] or 0) / n
+    ranks = materialize(every.select("id", "degree", F.lit(1.0 / n).alias("score")), "ranks")
+    for _ in range(most if sums[0] else 0):
+        given = ranks.join(links, ranks["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("given"))
+        new = ranks.join(given, ranks["id"] == given["dst"], "left").select("id", "degree", F.col("score").alias("old"), (F.lit((1 - alpha) / n) + alpha * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / n))).alias("score"))
+        new = materialize(new, "ranks")
+        drop(ranks)
+        ranks = new
+        change, loose = ranks.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0))).first()
+        if change < tolerance:
+            break
+    else:
+        if sums[0]:
+            raise ArithmeticError(f"PageRank did not converge in {most} rounds")
+    return ranks.select("id", "score")
+
+
+def hits_converged(edges: DataFrame, tolerance: float = 1e-9, most: int = 1000) -> DataFrame:
+    """id, hub and authority; rounds as in hits() until the L1 change of both is below tolerance, an error if `most` do not get there."""
+    links = materialize(edges.distinct(), "links")
+    every = materialize(nodes(links), "nodes")
+    n = every.count()
+    state = materialize(every.select("id", F.lit(1.0 / max(n, 1)).alias("hub"), F.lit(0.0).alias("authority")), "hits")
+    for _ in range(most if n else 0):
+        # the total of a sum over links is that of its terms, so scaling needs no pass of its own
+        raw = links.join(state, links["src"] == state["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("x"))
+        raw = materialize(raw, "authority")
+        total = raw.agg(F.sum("x")).first()[0] or 1.0
+        authority = raw.select("id", (F.col("x") / total).alias("a"))
+        hub = materialize(links.join(authority, links["dst"] == authority["id"]).groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("x")), "hubs")
+        scale = hub.agg(F.sum("x")).first()[0] or 1.0
+        new = state.select("id", F.col("hub").alias("h0"), F.col("authority").alias("a0")).join(hub.select("id", (F.col("x") / scale).alias("hub")), "id", "left").join(authority, "id", "left")
+        new = materialize(new.select("id", "h0", "a0", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("a", F.lit(0.0)).alias("authority")), "hits")
+        for old in (state, raw, hub):
+            drop(old)
+        state = new
+        if max(state.agg(F.sum(F.abs(F.col("hub") - F.col("h0"))), F.sum(F.abs(F.col("authority") - F.col("a0")))).first()) < tolerance:
+            break
+    else:
+        if n:
+            raise ArithmeticError(f"HITS did not converge in {most} rounds")
+    return state.select("id", "hub", "authority")
+
+
 def order_by(scores: DataFrame, score: str) -> DataFrame:
     """id and rank from 1, highest first, ties (to nine digits) by id."""
     from textloom.operators.scan import ordered_scan

@@ -134,6 +134,32 @@ def rank_overlap_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.overlap(by_rank, web.order_by(found, "score"))
 
 
+@shared("pagerank_converged")
+def _pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.pagerank_converged(graph(spark, sf_dir))
+
+
+@shared("hits_converged")
+def _hits_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.hits_converged(graph(spark, sf_dir))
+
+
+@query()
+def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To convergence, so no SQL of a set number of rounds; held against matrices in the tests, as are the next ones."""
+    return _pagerank_converged(spark, sf_dir).select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def hits_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits_converged(spark, sf_dir).select("id", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
+
+
+@query()
+def pagerank_converged_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.order_by(_pagerank_converged(spark, sf_dir), "score")
+
+
 def _offline_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, pos, link: the page graph as a web without a network."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
