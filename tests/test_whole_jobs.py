@@ -70,3 +70,13 @@ def test_link_analysis_converges(spark, small):
     found = {r.id: (r.hub, r.authority) for r in web._hits_converged(spark, small).collect()}
     assert np.abs(np.array([found[i] for i in ids]) - np.array([hub, authority]).T).sum() < 1e-6
     assert web.web.pagerank_converged(web.graph(spark, small).limit(0)).count() == 0 == web.web.hits_converged(web.graph(spark, small).limit(0)).count()
+
+
+def test_overlap_of_pagerank_and_authority(spark, small):
+    ids, m = _dense(spark, small)
+    rank, _, authority = _limits(m)
+    orders = [[x for _, x in sorted(zip(-np.round(s, 9), ids, strict=True))] for s in (rank, authority)]
+    assert [r.id for r in web.hits_order(spark, small).orderBy("rank").collect()] == orders[1]
+    ks = range(10, min(501, len(ids)), 10)
+    want = [(k, len(set(orders[0][:k]) & set(orders[1][:k])) / k) for k in ks]
+    assert sorted(tuple(r) for r in web.pagerank_authority_overlap_at_k(spark, small).select("k", "overlap").collect()) == want

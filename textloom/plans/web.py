@@ -160,6 +160,18 @@ def pagerank_converged_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.order_by(_pagerank_converged(spark, sf_dir), "score")
 
 
+@query()
+def hits_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by authority."""
+    return web.order_by(_hits_converged(spark, sf_dir), "authority")
+
+
+@query()
+def pagerank_authority_overlap_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of the PageRank order with the authority order of HITS, both converged."""
+    return evaluation.overlap(pagerank_converged_order(spark, sf_dir), hits_order(spark, sf_dir))
+
+
 def _offline_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, pos, link: the page graph as a web without a network."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
