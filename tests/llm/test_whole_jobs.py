@@ -1,9 +1,11 @@
 """Inputs on which the training-data operators once did less than the whole job."""
 
+import hashlib
+
 import numpy as np
 
 from helpers import rows_of
-from textloom.llm import topk
+from textloom.llm import mixing, topk
 
 
 def test_top_k_meets_every_pair_of_several_blocks_and_piles(spark, monkeypatch):
@@ -17,3 +19,25 @@ def test_top_k_meets_every_pair_of_several_blocks_and_piles(spark, monkeypatch):
         others = sorted((-int(vectors[q] @ vectors[i]), i) for i in range(200) if i != q)
         want += [(q, rank, i, -s) for rank, (s, i) in enumerate(others, 1)]
     assert got == sorted(want, key=repr)
+
+
+def test_mixing_goes_on_behind_a_document_that_is_refused(spark):
+    key = lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest()
+    order = sorted(range(400), key=key)
+    sizes = {i: 1 + i * 7 % 60 for i in order} | {order[0]: 25_000, order[90]: 900, order[200]: 333}
+    rows = [(i, "w " * sizes[i], "a") for i in order] + [(1000 + i, "w " * 800, None) for i in range(10)] + [(2000 + i, "w " * 500, "b") for i in range(20)] + [(3000 + i, "w " * 500, "c") for i in range(30)] + [(4000, None, "b")]
+    got = mixing.fill_plan(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    plan = mixing.targets(spark.createDataFrame([("a", sum(sizes.values())), ("b", 10_000), ("c", 15_000), (None, 8000)], "source string, source_size long")).collect()
+    want = {}
+    for p in plan:
+        left = p.extra
+        for i, text, _ in sorted((r for r in rows if r[2] == p.source), key=lambda r: key(r[0])):
+            size = len((text or "").split())
+            more = int(0 < size <= 2 * left)
+            left -= more * size
+            want[i] = (p.source, size, p.reps + more)
+    assert {r.doc_id: (r.source, r["size"], r.copies) for r in got} == want
+    a = next(p for p in plan if p.source == "a")
+    assert want[order[0]][2] == a.reps == 0 and abs(a.target - sum(r.taken for r in got if r.source == "a")) < 60
+    assert mixing.fill_plan(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

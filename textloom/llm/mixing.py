@@ -99,6 +99,59 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     return plan.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
+def fill_plan(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS) -> DataFrame:
+    """The plan of docs (doc_id, source, text) where a document that is refused uses up none of the words left.
+
+    The seeded order is walked to its end; a document is taken once more if that brings its
+    source no further from the target. Each pass takes whole ranges up to the first that may
+    hold a refusal, walks that one, and goes on behind it with what is left.
+    """
+    key = seeded(F.col("doc_id"), seed)
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.left(key, F.lit(3)).alias("range")), "fill-sizes")
+    spark = sized.sparkSession
+    plan = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), epochs), "fill-plan")
+    source = plan.schema["source"].dataType.simpleString()
+    open_ = [(r["source"], "", r["extra"]) for r in plan.where("extra > 0").collect()]  # one row a source
+    parts, walks = [], []  # ranges between two, sizes up to a limit; and ranges walked, with the words left before them
+    while open_:
+        now = spark.createDataFrame(open_, f"o_source {source}, after string, left long")
+        fit = sized.join(F.broadcast(now), F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") > F.col("after")) & (F.col("size") > 0) & (F.col("size") <= 2 * F.col("left")))
+        sums = fit.groupBy("o_source", "left", "range").agg(F.sum("size").alias("words"))
+        running = Window.partitionBy("o_source").orderBy("range")
+        edge = sums.withColumn("done", F.sum("words").over(running)).where("done > left")
+        edge = edge.groupBy("o_source", "left").agg(F.min(F.struct("range", (F.col("left") - F.col("done") + F.col("words")).alias("before"))).alias("e"))
+        edge = edge.select(F.col("o_source").alias("e_source"), F.col("e.range").alias("e_range"), F.col("e.before").alias("before"))
+        rows = sized.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("range") == F.col("e_range")))
+        walked = rows.groupBy("e_source", "e_range", "before").agg(F.sort_array(F.collect_list(F.struct("key", "doc_id", "size"))).alias("x"))
+        walked = walked.withColumn("left", F.aggregate("x.size", F.col("before"), lambda left, size: F.when((size > 0) & (size <= 2 * left), left - size).otherwise(left)))
+        at = {r.e_source: r for r in walked.drop("x").collect()}
+        parts += [(s, after, at[s].e_range if s in at else "~", 2 * left) for s, after, left in open_]
+        walks += [(s, r.e_range, r.before) for s, r in at.items()]
+        open_ = [(s, r.e_range, r.left) for s, r in at.items() if r.left > 0]
+    whole = spark.createDataFrame(parts, f"p_source {source}, after string, until string, most long")
+    edges = spark.createDataFrame(walks, f"w_source {source}, w_range string, before long")
+    named = sized.join(F.broadcast(edges), F.col("source").eqNullSafe(F.col("w_source")) & (F.col("range") == F.col("w_range")), "left").drop("w_source", "w_range")
+    outside = named.where("before IS NULL").join(F.broadcast(whole), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("range") > F.col("after")) & (F.col("range") < F.col("until")), "left")
+    outside = outside.select("doc_id", "source", "size", F.coalesce((F.col("size") > 0) & (F.col("size") <= F.col("most")), F.lit(False)).cast("long").alias("more"))
+
+    def walk(rows):
+        rows, flags = rows.sort_values(["key", "doc_id", "size"], na_position="first"), []
+        left = int(rows["before"].iloc[0])
+        for size in rows["size"]:
+            flags.append(int(0 < size <= 2 * left))
+            left -= size * flags[-1]
+        return rows.assign(more=flags)[["doc_id", "source", "size", "more"]]
+
+    inside = named.where("before IS NOT NULL").groupBy("source", "range").applyInPandas(walk, outside.schema)
+    placed = outside.unionByName(inside).join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    copies = F.col("reps") + F.col("more")
+    return placed.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))
+
+
+def op2_mixing_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
