@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 
 from helpers import rows_of
-from textloom.llm import mixing, topk
+from textloom.llm import langid, mixing, topk
 
 
 def test_top_k_meets_every_pair_of_several_blocks_and_piles(spark, monkeypatch):
@@ -41,3 +41,10 @@ def test_mixing_goes_on_behind_a_document_that_is_refused(spark):
     a = next(p for p in plan if p.source == "a")
     assert want[order[0]][2] == a.reps == 0 and abs(a.target - sum(r.taken for r in got if r.source == "a")) < 60
     assert mixing.fill_plan(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_every_labelled_language_gets_a_model(spark):
+    rows = [(f"only text {i} " * 3, f"l{i}") for i in range(40)] + [("1 2 3", "digits")]
+    rows += [(f"long words number {i} " * 3000, "long") for i in range(10)]
+    models = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample_chars=20)
+    assert sorted(models.langs) == sorted({lang for _, lang in rows} - {"digits"})

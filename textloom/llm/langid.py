@@ -163,16 +163,19 @@ def posterior(entropies: np.ndarray, n: int, sharpness: float) -> np.ndarray:
 
 
 def fit(rows: DataFrame, sample_chars: int = SAMPLE_CHARS, seed: int = SEED) -> Models | None:
-    """rows (text, lang) -> models, or None without any. At most about sample_chars characters a language are counted."""
+    """rows (text, lang) -> models, or None without any. At most about sample_chars characters a language are counted, but at least its text of lowest hash."""
     ship(rows.sparkSession)
-    known = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    shares = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text").cast("long")).alias("chars")).collect()  # one row a language
+    share = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007
+    known = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").withColumn("u", share)
+    least = F.coalesce(F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("u"))), F.lit(-1.0))
+    shares = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text").cast("long")).alias("chars"), least.alias("least")).collect()  # one row a language
     if not shares:
         return None
     of = lambda name: F.create_map(*(F.lit(x) for s in shares for x in (s["lang"], s[name])))[F.col("lang")]  # noqa: E731  a join would deal the texts out by language
-    picked = known.select("lang", "text", of("rows").alias("rows"), of("chars").alias("chars"), (F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007).alias("u"))
+    picked = known.select("lang", "text", of("rows").alias("rows"), of("chars").alias("chars"), of("least").alias("least"), "u")
     tenth = F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(10)) == 0
-    sample = picked.where(~tenth & (F.col("u") * F.col("chars") < sample_chars)).select("lang", "text")
+    floor = F.col("u") == F.col("least")  # so that few or very long texts give their language a model too
+    sample = picked.where(floor | (~tenth & (F.col("u") * F.col("chars") < sample_chars))).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -188,7 +191,7 @@ def fit(rows: DataFrame, sample_chars: int = SAMPLE_CHARS, seed: int = SEED) ->
     if not counts:
         return None
     models = Models(counts)
-    held = picked.where(tenth & (F.col("u") * F.col("rows") < 10 * CALIBRATION_ROWS)).select("lang", "text")
+    held = picked.where(~floor & tenth & (F.col("u") * F.col("rows") < 10 * CALIBRATION_ROWS)).select("lang", "text")
     _calibrate(models, held)
     return models
 
