@@ -28,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table._textloom_path = path
     return table
