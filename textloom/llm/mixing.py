@@ -6,20 +6,30 @@ the others by weight, until none is above. With sources in ascending order of
 cap / weight, the clamped ones are a prefix of that order, and the fixed point of
 the rounds is one running sum over one row a source.
 
-A source's documents are then taken floor(target / size) times whole, and once
-more in a seeded order until the words left over are used up (the last one only
-if that comes nearer). The order is that of md5(seed:doc_id); it is cut by sums
-over 4096 ranges of it, so only one range a source is sorted.
+A source's documents are then taken floor(target / size) times whole, and some
+once more: in a seeded order, each that brings the source no further from its
+target, to the end of the order. A document that is refused uses up nothing, so
+smaller ones behind it fill the gap. The order is that of md5(seed:doc_id:md5(text)),
+cut into ranges of about RANGE rows. Each pass takes whole ranges up to the first
+that may hold a refusal, walks that one, and goes on behind it with what is left;
+rows that are equal in doc_id, text and source are walked as one with a number.
+
+Only sizes and hashes are shuffled. mix() reads the texts once more and meets the
+decisions, a few rows a source, where they lie; only the rows of walked ranges,
+about RANGE for each, are dealt out.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; a source without words has target 0 and takes none; rows that
-share a doc_id are dealt with one by one; a null doc_id is ordered as the empty
-string; an empty table gives an empty table. Input columns with the names of
-results are replaced by mix_plan().
+last in order; a row without words comes as often as all of its source do; a source
+without words has target 0 and takes none; rows that share a doc_id are dealt with one by one; a null doc_id is
+ordered as the empty string; an empty table gives an empty table. Input columns
+with the names of results are replaced by mix_plan(); mix() returns the input's.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +38,19 @@ from textloom.scratch import materialize
 
 SEED = 42
 EPOCHS = 3
+#: Rows of a range of the seeded order, about.
+RANGE = 4096
+#: Decisions are broadcast up to so many rows, a few for each source, and joined by a shuffle beyond.
+SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long"), F.lit(0).cast("long"))
 
 
-def seeded(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def seeded(doc_id: Column, text: Column, seed: int) -> Column:
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
 
 
 def targets(sources: DataFrame, epochs: int = EPOCHS, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -66,90 +81,99 @@ def targets(sources: DataFrame, epochs: int = EPOCHS, weights: tuple[int, ...] =
     )
 
 
-def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, epochs: int = EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, source, size, source_size, target, copies and taken of each row."""
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *keep), "mix-sizes")
-    ordered = sized.withColumn("key", seeded(F.col("doc_id"), seed)).withColumn("range", F.left(F.col("key"), F.lit(3)))
-    ranges = sized.select("source", "size", F.left(seeded(F.col("doc_id"), seed), F.lit(3)).alias("range")).groupBy("source", "range").agg(F.sum("size").alias("words"))
-    ranges = materialize(ranges, "mix-ranges")
-    plan = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), epochs)
-    running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
-        ranges.withColumn("done", F.coalesce(F.sum("words").over(running), F.lit(0)))
-        .withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source")))
-        .withColumn("state", F.when(F.col("done") + F.col("words") <= F.col("extra"), 2).when(F.col("done") < F.col("extra"), 1).otherwise(0))
-        .select(F.col("s").alias("c_source"), F.col("range").alias("c_range"), "done", "state", "source_size", "target", "reps", "extra")
-    )
-    placed = ordered.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("range") == F.col("c_range")))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    names = ["doc_id", *keep, "source", "size", "source_size", "target"]
-    whole = placed.where("state <> 1").select(*names, (F.col("reps") + (F.col("state") == 2).cast("long")).alias("copies"))
-    edge = (
-        placed.where("state = 1")
-        .withColumn("at", F.col("done") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .select(*names, (F.col("reps") + (2 * F.col("at") + F.col("size") <= 2 * F.col("extra")).cast("long")).alias("copies"))
-    )
-    return whole.unionByName(edge).withColumn("taken", F.col("copies") * F.col("size"))
+class Plan:
+    """What a mix takes: the targets of the sources and which rows of the seeded order come once more."""
+
+    def __init__(self, docs: DataFrame, text: str, doc_id: str, source: str, seed: int, epochs: int):
+        self.names, self.seed = (text, doc_id, source), seed
+        self.sized = materialize(self._sized(docs, F.col(doc_id).alias("doc_id")), "mix-sizes")
+        self.spark = self.sized.sparkSession
+        found = self.sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+        found = materialize(found, "mix-sources")
+        self.targets = materialize(targets(found, epochs), "mix-targets")
+        self.few = found.count() <= SOURCES
+        rows = found.agg(F.max("rows")).first()[0] or 0
+        self.digits = next(d for d in range(1, 17) if rows <= RANGE * 16**d)
+        self._decide()
+
+    def _sized(self, docs: DataFrame, *keep: Column) -> DataFrame:
+        text, doc_id, source = self.names
+        return docs.select(*keep, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), seeded(F.col(doc_id), F.col(text), self.seed).alias("key"))
+
+    def _range(self) -> Column:
+        return F.left(F.col("key"), F.lit(self.digits))
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.few else df
+
+    def _decide(self) -> None:
+        kind = self.targets.schema["source"].dataType.simpleString()
+        ranged = self.sized.where("size > 0").withColumn("range", self._range())
+        open_ = [(r["source"], "", r["extra"]) for r in self.targets.where("extra > 0").collect()]  # one row a source
+        spans, walked = [], []  # ranges between two, sizes up to a limit; and rows taken of each key of the ranges walked
+        while open_:
+            now = self.spark.createDataFrame(open_, f"o_source {kind}, after string, left long")
+            fit = ranged.join(self._small(now), F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") > F.col("after")) & (F.col("size") <= 2 * F.col("left")))
+            sums = fit.groupBy("o_source", "left", "range").agg(F.sum("size").alias("words"))
+            running = Window.partitionBy("o_source").orderBy("range")
+            edge = sums.withColumn("done", F.sum("words").over(running)).where("done > left")
+            edge = edge.groupBy("o_source", "left").agg(F.min(F.struct("range", (F.col("left") - F.col("done") + F.col("words")).alias("before"))).alias("e"))
+            edge = edge.select(F.col("o_source").alias("e_source"), F.col("e.range").alias("e_range"), F.col("e.before").alias("before"))
+            rows = ranged.join(self._small(edge), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("range") == F.col("e_range")))
+            groups = rows.groupBy("e_source", "e_range", "before", "key", "size").agg(F.count("*").alias("n"))
+            walks = groups.groupBy("e_source", "e_range").applyInPandas(_walk, f"e_source {kind}, e_range string, left long, keys array<string>, taken array<long>")
+            walks = materialize(walks, "mix-walks")
+            at = {r.e_source: r for r in walks.select("e_source", "e_range", "left").collect()}
+            spans += [(s, after, at[s].e_range if s in at else "~", 2 * left) for s, after, left in open_]
+            walked.append(walks)
+            open_ = [(s, r.e_range, r.left) for s, r in at.items() if r.left > 0]
+        self.spans = self.spark.createDataFrame(spans, f"p_source {kind}, after string, until string, most long")
+        nothing = self.spark.createDataFrame([], f"e_source {kind}, e_range string, left long, keys array<string>, taken array<long>")
+        self.walks = reduce(DataFrame.unionAll, walked, nothing)
+
+    def applied(self, rows: DataFrame) -> DataFrame:
+        """rows (with source, size and key) with source_size, target and copies."""
+        rows = rows.withColumn("range", self._range())
+        edges = self.walks.select(F.col("e_source").alias("w_source"), F.col("e_range").alias("w_range"), F.lit(True).alias("edge"))
+        marked = rows.join(self._small(edges), F.col("source").eqNullSafe(F.col("w_source")) & (F.col("range") == F.col("w_range")), "left").drop("w_source", "w_range")
+        inside = (F.col("range") > F.col("after")) & (F.col("range") < F.col("until"))
+        outer = marked.where("edge IS NULL").join(self._small(self.spans), F.col("source").eqNullSafe(F.col("p_source")) & inside, "left")
+        outer = outer.withColumn("more", F.coalesce((F.col("size") > 0) & (F.col("size") <= F.col("most")), F.lit(False)).cast("long"))
+        taken = self.walks.select(F.col("e_source").alias("t_source"), F.explode(F.arrays_zip("keys", "taken")).alias("t"))
+        taken = taken.select("t_source", F.col("t.keys").alias("t_key"), F.col("t.taken").alias("t_taken"))
+        edge = marked.where("edge").withColumn("nth", F.row_number().over(Window.partitionBy("source", "key").orderBy(F.lit(1))))
+        edge = edge.join(taken, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("key") == F.col("t_key")), "left")
+        edge = edge.withColumn("more", (F.col("nth") <= F.coalesce("t_taken", F.lit(0))).cast("long"))
+        placed = outer.select(*rows.columns, "more").unionByName(edge.select(*rows.columns, "more"))
+        named = self.targets.withColumnRenamed("source", "s")
+        placed = placed.join(self._small(named), F.col("source").eqNullSafe(F.col("s")))
+        return placed.withColumn("copies", F.col("reps") + F.col("more"))
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one range, in order: how many rows of each key come once more while each brings the sum no further away."""
+    rows = rows.sort_values("key")
+    left, keys, taken = int(rows["before"].iloc[0]), [], []
+    for key, size, n in zip(rows["key"], rows["size"].tolist(), rows["n"].tolist(), strict=True):
+        more = min(n, (2 * left - size) // (2 * size) + 1) if size <= 2 * left else 0
+        if more:
+            keys.append(key)
+            taken.append(more)
+        left -= more * size
+    return pd.DataFrame({"e_source": rows["e_source"].iloc[:1], "e_range": rows["e_range"].iloc[:1], "left": [left], "keys": [keys], "taken": [taken]})
+
+
+def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, epochs: int = EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of each row."""
+    plan = Plan(docs, text, doc_id, source, seed, epochs)
+    return plan.applied(plan.sized).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, epochs: int = EPOCHS) -> DataFrame:
     """The mix itself: each row of docs as often as the plan says; the columns of docs."""
-    row = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"), F.col(doc_id).alias("__id"), F.col(source).alias("__source"))
-    plan = mix_plan(row, "__text", "__id", "__source", seed, epochs, keep=("__row",))
-    return plan.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
-
-
-def fill_plan(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS) -> DataFrame:
-    """The plan of docs (doc_id, source, text) where a document that is refused uses up none of the words left.
-
-    The seeded order is walked to its end; a document is taken once more if that brings its
-    source no further from the target. Each pass takes whole ranges up to the first that may
-    hold a refusal, walks that one, and goes on behind it with what is left.
-    """
-    key = seeded(F.col("doc_id"), seed)
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.left(key, F.lit(3)).alias("range")), "fill-sizes")
-    spark = sized.sparkSession
-    plan = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), epochs), "fill-plan")
-    source = plan.schema["source"].dataType.simpleString()
-    open_ = [(r["source"], "", r["extra"]) for r in plan.where("extra > 0").collect()]  # one row a source
-    parts, walks = [], []  # ranges between two, sizes up to a limit; and ranges walked, with the words left before them
-    while open_:
-        now = spark.createDataFrame(open_, f"o_source {source}, after string, left long")
-        fit = sized.join(F.broadcast(now), F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") > F.col("after")) & (F.col("size") > 0) & (F.col("size") <= 2 * F.col("left")))
-        sums = fit.groupBy("o_source", "left", "range").agg(F.sum("size").alias("words"))
-        running = Window.partitionBy("o_source").orderBy("range")
-        edge = sums.withColumn("done", F.sum("words").over(running)).where("done > left")
-        edge = edge.groupBy("o_source", "left").agg(F.min(F.struct("range", (F.col("left") - F.col("done") + F.col("words")).alias("before"))).alias("e"))
-        edge = edge.select(F.col("o_source").alias("e_source"), F.col("e.range").alias("e_range"), F.col("e.before").alias("before"))
-        rows = sized.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("range") == F.col("e_range")))
-        walked = rows.groupBy("e_source", "e_range", "before").agg(F.sort_array(F.collect_list(F.struct("key", "doc_id", "size"))).alias("x"))
-        walked = walked.withColumn("left", F.aggregate("x.size", F.col("before"), lambda left, size: F.when((size > 0) & (size <= 2 * left), left - size).otherwise(left)))
-        at = {r.e_source: r for r in walked.drop("x").collect()}
-        parts += [(s, after, at[s].e_range if s in at else "~", 2 * left) for s, after, left in open_]
-        walks += [(s, r.e_range, r.before) for s, r in at.items()]
-        open_ = [(s, r.e_range, r.left) for s, r in at.items() if r.left > 0]
-    whole = spark.createDataFrame(parts, f"p_source {source}, after string, until string, most long")
-    edges = spark.createDataFrame(walks, f"w_source {source}, w_range string, before long")
-    named = sized.join(F.broadcast(edges), F.col("source").eqNullSafe(F.col("w_source")) & (F.col("range") == F.col("w_range")), "left").drop("w_source", "w_range")
-    outside = named.where("before IS NULL").join(F.broadcast(whole), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("range") > F.col("after")) & (F.col("range") < F.col("until")), "left")
-    outside = outside.select("doc_id", "source", "size", F.coalesce((F.col("size") > 0) & (F.col("size") <= F.col("most")), F.lit(False)).cast("long").alias("more"))
-
-    def walk(rows):
-        rows, flags = rows.sort_values(["key", "doc_id", "size"], na_position="first"), []
-        left = int(rows["before"].iloc[0])
-        for size in rows["size"]:
-            flags.append(int(0 < size <= 2 * left))
-            left -= size * flags[-1]
-        return rows.assign(more=flags)[["doc_id", "source", "size", "more"]]
-
-    inside = named.where("before IS NOT NULL").groupBy("source", "range").applyInPandas(walk, outside.schema)
-    placed = outside.unionByName(inside).join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
-    copies = F.col("reps") + F.col("more")
-    return placed.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))
-
-
-def op2_mixing_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    plan = Plan(docs, text, doc_id, source, seed, epochs)
+    rows = plan.applied(plan._sized(docs, F.struct(*docs.columns).alias("row")))
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +182,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sql(source: str, size: str = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))") -> str:
-    """DuckDB CTEs ending in `mixed`: the rows of source with size, source_size, target, copies and taken."""
+    """DuckDB CTEs, to follow WITH RECURSIVE, ending in `mixed`: the rows of source with size, source_size, target, copies and taken."""
     return f"""
-      sz AS (SELECT *, CAST({size} AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM {source}),
+      sz AS (SELECT *, CAST({size} AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM {source}),
       so AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sz GROUP BY source),
       wt AS (SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS weight, source_size * {EPOCHS} AS cap FROM so),
       rn AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open,
@@ -171,11 +195,13 @@ def mix_sql(source: str, size: str = r"len(regexp_extract_all(coalesce(text, '')
           ELSE weight * CAST((SELECT arg_min(rest, rk) FROM ab WHERE NOT above) AS DOUBLE) / (SELECT arg_min(open, rk) FROM ab WHERE NOT above) END AS target FROM ab),
       tr AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least({EPOCHS}, floor(target / source_size)) AS BIGINT) ELSE 0 END AS reps FROM tg),
       ex AS (SELECT *, CAST(round(target) AS BIGINT) - reps * source_size AS extra FROM tr),
-      ps AS (SELECT s.*, ex.source_size, ex.target, ex.reps, ex.extra,
-          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, s.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+      ps AS (SELECT s.*, ex.source_size, ex.target, ex.reps, ex.extra, row_number() OVER (PARTITION BY s.source ORDER BY key) AS nth
         FROM sz s JOIN ex ON s.source IS NOT DISTINCT FROM ex.source),
-      mixed AS (SELECT *, reps + CASE WHEN extra > 0 AND 2 * place + size <= 2 * extra THEN 1 ELSE 0 END AS copies FROM ps)"""
+      wk AS (SELECT source, CAST(0 AS BIGINT) AS nth, extra AS rest, 0 AS more FROM ex
+        UNION ALL SELECT p.source, p.nth, CASE WHEN p.size > 0 AND p.size <= 2 * w.rest THEN w.rest - p.size ELSE w.rest END, CASE WHEN p.size > 0 AND p.size <= 2 * w.rest THEN 1 ELSE 0 END
+        FROM wk w JOIN ps p ON p.source IS NOT DISTINCT FROM w.source AND p.nth = w.nth + 1),
+      mixed AS (SELECT ps.*, reps + more AS copies FROM ps JOIN wk ON ps.source IS NOT DISTINCT FROM wk.source AND ps.nth = wk.nth)"""
 
 
-OP2_SQL = f"""WITH {mix_sql('documents')}
+OP2_SQL = f"""WITH RECURSIVE {mix_sql('documents')}
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies FROM mixed"""

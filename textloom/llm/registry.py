@@ -7,7 +7,6 @@ from textloom.llm import bpe, chat, langid, mixing, pii, quality, sharding, simh
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
-    "op2_mixing_filled": mixing.op2_mixing_filled,
     "op3_simhash": simhash.op3_simhash,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": bpe.op5_byte_bpe,
