@@ -11,6 +11,9 @@ Kinds email, ip, card and phone are base kinds: a match that passes its check is
 kept whatever its score. iban (mod-97) and ssn (area, group and serial numbers)
 are added by the method if their score, context words included, reaches KEEP.
 
+Folds run in blocks and texts are cut from pieces, so that a text with very many spans
+costs what its spans do.
+
 Defined results: a null text counts as empty and has no spans; an empty table
 gives an empty table; repeated rows are searched each time; columns of the input
 named like one that is added are replaced. Overlapping spans of several kinds are
@@ -65,21 +68,37 @@ NEAR = 40  # code points of context on either side
 BONUS = 0.2
 KEEP = 0.6
 BASE = tuple(k.name for k in KINDS if k.base)
+BLOCK = 64  # spans folded at a time
+PIECE = 1024  # code points of a text's pieces
 SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
 
 
+def _fold(items: str, state: str, kind: str, step: str) -> str:
+    """SQL for the array of what a fold emits: its work and memory are in proportion to the items.
+
+    items is an array i of which each element x turns state s into step, a struct (s, out)
+    with out an array of `kind` to emit. Appending to one array would copy it for each
+    element, so BLOCK elements are folded at a time and their arrays joined once.
+    """
+    empty = f"CAST(array() AS ARRAY<{kind}>)"
+    inner = f"""aggregate(slice(z.i, CAST(b * {BLOCK} + 1 AS INT), {BLOCK}), struct(a.s AS s, {empty} AS found),
+        (c, x) -> aggregate(array({step.replace('{s}', 'c.s')}), c, (c, y) -> struct(y.s AS s, concat(c.found, y.out) AS found)),
+        c -> struct(c.s AS s, concat(a.found, array(c.found)) AS found))"""
+    return f"""aggregate(array(struct({items} AS i)), {empty}, (none, z) -> aggregate(sequence(0, CAST(ceil(size(z.i) / {BLOCK}) AS INT)),
+      struct({state} AS s, CAST(array() AS ARRAY<ARRAY<{kind}>>) AS found), (a, b) -> {inner}, a -> flatten(a.found)))"""
+
+
 def _spans(kind: Kind) -> str:
     """SQL for the array of SPAN of one kind in text t."""
-    rank = f"round(least(1D, {kind.score}D + CASE WHEN lower(concat(right(z.g[i], {NEAR}), ' ', left(z.g[i + 1], {NEAR}))) RLIKE r'{kind.near}' THEN {BONUS}D ELSE 0D END), 2)"
-    keep = "true" if kind.base else f"x.score >= {KEEP}D"
-    check = kind.check
-    return f"""CASE WHEN {kind.gate} THEN filter(
-      aggregate(array(struct(regexp_extract_all(t, r'{kind.pattern}', 0) AS m, split(t, r'{kind.pattern}', -1) AS g)), CAST(array() AS ARRAY<STRUCT<ok:BOOLEAN,kind:STRING,start:BIGINT,end:BIGINT,score:DOUBLE>>), (none, z) ->
-        aggregate(sequence(0, size(z.m)), struct(0L AS at, none AS found), (a, i) -> CASE WHEN i >= size(z.m) THEN a ELSE struct(
-          a.at + length(z.g[i]) + length(z.m[i]) AS at,
-          concat(a.found, transform(array(z.m[i]), m -> struct({check} AS ok, '{kind.name}' AS kind, a.at + length(z.g[i]) AS start,
-            a.at + length(z.g[i]) + length(m) AS end, {rank} AS score))) AS found) END, a -> a.found)),
-      x -> x.ok AND {keep}) ELSE CAST(array() AS ARRAY<STRUCT<ok:BOOLEAN,kind:STRING,start:BIGINT,end:BIGINT,score:DOUBLE>>) END"""
+    rank = f"round(least(1D, {kind.score}D + CASE WHEN lower(concat(right(x.g, {NEAR}), ' ', left(x.h, {NEAR}))) RLIKE r'{kind.near}' THEN {BONUS}D ELSE 0D END), 2)"
+    keep = "true" if kind.base else f"y.score >= {KEEP}D"
+    # each match m with the gaps g before and h after it
+    items = f"""aggregate(array(struct(regexp_extract_all(t, r'{kind.pattern}', 0) AS m, split(t, r'{kind.pattern}', -1) AS g)), CAST(array() AS ARRAY<STRUCT<m:STRING,g:STRING,h:STRING>>),
+      (none, w) -> transform(w.m, (m, i) -> struct(m, w.g[i] AS g, w.g[i + 1] AS h)))"""
+    start = "({s} + length(x.g))"
+    found = f"filter(transform(array(x.m), m -> struct({kind.check} AS ok, '{kind.name}' AS kind, {start} AS start, {start} + length(m) AS end, {rank} AS score)), y -> y.ok AND {keep})"
+    fold = _fold(items, "0L", f"STRUCT<ok:BOOLEAN,{SPAN[7:-1]}>", f"struct({start} + length(x.m) AS s, {found} AS out)")
+    return f"CASE WHEN {kind.gate} THEN {fold} ELSE CAST(array() AS ARRAY<STRUCT<ok:BOOLEAN,{SPAN[7:-1]}>>) END"
 
 
 def find_pii(docs: DataFrame, text: str = "text", kinds=KINDS) -> DataFrame:
@@ -94,17 +113,24 @@ def redact(docs: DataFrame, text: str = "text", kinds=KINDS) -> DataFrame:
     """docs with every span in `text` replaced by its kind in brackets; a null text stays null."""
     row = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
     order = ", ".join(f"'{k.name}', {i}" for i, k in enumerate(kinds))
-    merged = F.expr(f"""aggregate(sort_array(transform(pii_spans, x -> struct(x.start AS s, map({order})[x.kind] AS k, x.end AS e, x.kind AS kind))),
-      CAST(array() AS ARRAY<STRUCT<s:BIGINT,e:BIGINT,kind:STRING>>), (a, x) ->
-      CASE WHEN size(a) > 0 AND x.s < element_at(a, -1).e
-        THEN concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s AS s, greatest(element_at(a, -1).e, x.e) AS e, element_at(a, -1).kind AS kind)))
-        ELSE concat(a, array(struct(x.s AS s, x.e AS e, x.kind AS kind))) END)""")
-    clean = F.expr("""CASE WHEN size(__m) = 0 THEN __text ELSE concat(array_join(transform(__m, (x, i) -> concat(
-      CASE WHEN i = 0 THEN substr(__text, 1, CAST(x.s AS INT))
-        ELSE substr(__text, CAST(__m[greatest(i - 1, 0)].e + 1 AS INT), CAST(x.s - __m[greatest(i - 1, 0)].e AS INT)) END,
-      '[', upper(x.kind), ']')), ''), substr(__text, CAST(element_at(__m, -1).e + 1 AS INT))) END""")
-    found = find_pii(row, "__text", kinds).select("__row", "__text", merged.alias("__m"))
-    return found.select("__row", clean.alias("__clean")).select(*(F.col("__clean").alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
+    # each span with the kind of the first that it touches; what it touches is emitted as one
+    empty = "CAST(NULL AS STRUCT<s:BIGINT,e:BIGINT,kind:STRING>)"
+    spans = f"""concat(sort_array(transform(pii_spans, x -> struct(x.start AS s, map({order})[x.kind] AS k, x.end AS e, x.kind AS kind))),
+      array(struct(CAST(NULL AS BIGINT) AS s, 0 AS k, CAST(NULL AS BIGINT) AS e, '' AS kind)))"""
+    step = f"""CASE WHEN {{s}} IS NOT NULL AND x.s < {{s}}.e
+      THEN struct(struct({{s}}.s AS s, greatest({{s}}.e, x.e) AS e, {{s}}.kind AS kind) AS s, CAST(array() AS ARRAY<STRUCT<s:BIGINT,e:BIGINT,kind:STRING>>) AS out)
+      ELSE struct(struct(x.s AS s, x.e AS e, x.kind AS kind) AS s, filter(array({{s}}), y -> y IS NOT NULL) AS out) END"""
+    merged = _fold(spans, empty, "STRUCT<s:BIGINT,e:BIGINT,kind:STRING>", step)
+    # substr() counts from a text's beginning, so the gaps are cut from pieces of it
+    start, end = "(CASE WHEN i = 0 THEN 0L ELSE z.m[i - 1].e END)", "(CASE WHEN i = size(z.m) THEN CAST(length(__text) AS BIGINT) ELSE z.m[i].s END)"
+    gap = f"""CASE WHEN {start} >= {end} THEN '' ELSE array_join(transform(sequence({start} div {PIECE}, ({end} - 1) div {PIECE}), p ->
+      substr(z.p[CAST(p AS INT)], CAST(greatest({start} - p * {PIECE}, 0L) + 1 AS INT), CAST(least({end} - p * {PIECE}, {PIECE}L) - greatest({start} - p * {PIECE}, 0L) AS INT))), '') END"""
+    joined = f"array_join(transform(sequence(0, size(z.m)), i -> concat({gap}, CASE WHEN i = size(z.m) THEN '' ELSE concat('[', upper(z.m[i].kind), ']') END)), '')"
+    # spans and pieces are bound once: what stands in a lambda is computed for each element
+    clean = F.expr(f"""CASE WHEN size(pii_spans) = 0 THEN __text ELSE
+      aggregate(array(struct({merged} AS m, regexp_extract_all(__text, r'(?s).{{1,{PIECE}}}', 0) AS p)), '', (none, z) -> {joined}) END""")
+    found = find_pii(row, "__text", kinds).select("__row", clean.alias("__clean"))
+    return found.select(*(F.col("__clean").alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
