@@ -8,10 +8,10 @@ ENGLISH = tuple(
     "very was were what when where which while who whom why will with would you your yours yourself yourselves".split()
 )
 SPANISH = tuple(
-    "ante antes como con contra cual cuando del desde donde dos durante ella ellas ellos entre era eran eres esa esas ese "
-    "eso esos esta estaba estado estamos estar estas este esto estos fue fueron fui han has hasta hay las les los mas más "
-    "mis mucho muchos muy nada nos nosotros nuestra nuestro otra otras otro otros para pero poco por porque que quien se "
-    "sea ser sin sobre son soy sus también tanto te tengo tiene tienen todo todos tus una uno unos usted vosotros y ya".split()
+    "a al algo ante antes aquel aquella cada como con contra cual cuando cuya cuyo de del desde donde dos durante e el él ella ellas ellos entre era eran eres esa esas ese "
+    "en eso esos esta estaba estado estamos estar estas este esto estos fue fueron fui ha han has hasta hay he la las le les lo los mas más me mi "
+    "mí mis mucho muchos muy nada ni no nos nosotros nuestra nuestro o otra otras otro otros para pero poco por porque que qué quien se "
+    "sea ser si sí sin sobre son soy su sus también tanto te tengo tiene tienen todo todos tu tú tus u un una unas uno unos usted vosotros y ya yo".split()
 )
 
 
