@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import stopwords, text
 from textloom.operators.scan import ordered_scan
+from textloom.scratch import materialize
 
 
 def tokens(docs: DataFrame, pattern: str = text.SPANISH, lower: bool = True, column: str = "text", key: str = "doc_id") -> DataFrame:
@@ -53,9 +54,33 @@ def offsets(postings: DataFrame, width: int = 8) -> DataFrame:
     return placed.select((F.col("row_number") - 1).alias("term_id"), "term", "df", (F.col("before") * width).alias("offset"))
 
 
-def posting_lists(postings: DataFrame) -> DataFrame:
-    """term, df and its postings in order of document. A list is one value, so it must fit in memory."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+#: Document numbers of a part of a posting list: no list is sorted, windowed or held in one piece.
+SPAN = 1 << 16
+
+
+def parts(postings: DataFrame, span: int = SPAN) -> DataFrame:
+    """Postings with part, and of the term's parts before it: before (their postings) and previous (their last document, or 0); df of the whole list."""
+    cut = postings.withColumn("part", F.expr(f"doc_id div {span}"))
+    sizes = cut.groupBy("term", "part").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    by_part = Window.partitionBy("term").orderBy("part")
+    known = sizes.select(
+        "term", "part",
+        F.coalesce(F.sum("n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.coalesce(F.lag("last").over(by_part), F.lit(0)).alias("previous"),
+        F.sum("n").over(Window.partitionBy("term")).alias("df"),
+    )
+    return cut.join(known, ["term", "part"])
+
+
+def posting_lists(postings: DataFrame, span: int = SPAN) -> DataFrame:
+    """term, part, df and the postings of that part in order of document."""
+    pile = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
+    return parts(postings, span).groupBy("term", "part").agg(F.first("df").alias("df"), pile.alias("postings"))
+
+
+def named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with the documents' names in place of their numbers; names: doc_id and doc_name."""
+    return rows.join(names.select("doc_id", "doc_name"), "doc_id").drop("doc_id")
 
 
 def norms(postings: DataFrame, n_docs: Column | int) -> DataFrame:
@@ -68,24 +93,26 @@ def norms(postings: DataFrame, n_docs: Column | int) -> DataFrame:
 # ---- the physical layout as data
 
 
-def skips(postings: DataFrame) -> DataFrame:
+def skips(postings: DataFrame, span: int = SPAN) -> DataFrame:
     """Postings with idx (from 0) and skip_to: every int(sqrt(df))-th entry points that far ahead, the others hold 0."""
-    by_term = Window.partitionBy("term")
     step = F.floor(F.sqrt(F.col("df"))).cast("long")
-    numbered = postings.withColumn("df", F.count("*").over(by_term)).withColumn("idx", (F.row_number().over(by_term.orderBy("doc_id")) - 1).cast("long"))
+    own = Window.partitionBy("term", "part").orderBy("doc_id")
+    numbered = parts(postings, span).withColumn("idx", (F.row_number().over(own) - 1 + F.col("before")).cast("long"))
     to = F.when((F.col("idx") % step == 0) & (F.col("idx") + step < F.col("df")), F.col("idx") + step).otherwise(0)
     return numbered.select("term", "doc_id", "tf", "idx", to.cast("long").alias("skip_to"))
 
 
-def gaps(postings: DataFrame) -> DataFrame:
-    """Postings with the distance to the term's previous document (the first: to 0)."""
-    return postings.withColumn("gap", F.col("doc_id") - F.coalesce(F.lag("doc_id").over(Window.partitionBy("term").orderBy("doc_id")), F.lit(0)))
+def gaps(postings: DataFrame, span: int = SPAN) -> DataFrame:
+    """Postings with part, previous and gap, the distance to the term's previous document (the first: to 0)."""
+    own = Window.partitionBy("term", "part").orderBy("doc_id")
+    gap = F.col("doc_id") - F.coalesce(F.lag("doc_id").over(own), F.col("previous"))
+    return parts(postings, span).withColumn("gap", gap).select("term", "part", "df", "previous", "doc_id", "tf", "gap")
 
 
 def ungap(gapped: DataFrame, order: str) -> DataFrame:
-    """The documents again, from gaps in the order of a column."""
-    own = Window.partitionBy("term").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.withColumn("doc_id", F.sum("gap").over(own))
+    """The documents again, from gaps in the order of a column within each part."""
+    own = Window.partitionBy("term", "part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return gapped.withColumn("doc_id", F.col("previous") + F.sum("gap").over(own))
 
 
 def vbyte(n: Column) -> Column:
@@ -114,10 +141,42 @@ def ungamma(code: Column) -> Column:
     return F.conv(F.concat(F.lit("1"), F.substring(code, ones + 2, ones)), 2, 10).cast("long")
 
 
-def compressed(postings: DataFrame, use_gaps: bool = True) -> DataFrame:
-    """term, df, docs (vbyte hex) and freqs (padded gamma bits) of each list, with the bits that each takes."""
-    rows = gaps(postings) if use_gaps else postings.withColumn("gap", F.col("doc_id"))
-    coded = rows.select("term", "doc_id", vbyte(F.col("gap")).alias("d"), gamma(F.col("tf"), True).alias("f"))
+def compressed(postings: DataFrame, use_gaps: bool = True, span: int = SPAN) -> DataFrame:
+    """term, part, df, previous, n, docs (vbyte hex) and freqs (padded gamma bits) of each part of a list, with the bits that each takes."""
+    rows = gaps(postings, span) if use_gaps else gaps(postings, span).withColumn("gap", F.col("doc_id"))
+    coded = rows.select("term", "part", "df", "previous", "doc_id", vbyte(F.col("gap")).alias("d"), gamma(F.col("tf"), True).alias("f"))
     pile = F.sort_array(F.collect_list(F.struct("doc_id", "d", "f")))
-    lists = coded.groupBy("term").agg(F.count("*").alias("df"), pile.alias("p"))
-    return lists.select("term", "df", F.array_join("p.d", "").alias("docs"), F.array_join("p.f", "").alias("freqs")).withColumns({"docs_bits": (F.length("docs") * 4).cast("long"), "freqs_bits": F.length("freqs").cast("long")})
+    lists = coded.groupBy("term", "part").agg(F.first("df").alias("df"), F.first("previous").alias("previous"), F.count("*").alias("n"), pile.alias("p"))
+    lists = lists.select("term", "part", "df", "previous", "n", F.array_join("p.d", "").alias("docs"), F.array_join("p.f", "").alias("freqs"))
+    return lists.withColumns({"docs_bits": (F.length("docs") * 4).cast("long"), "freqs_bits": F.length("freqs").cast("long")})
+
+
+def store_compressed(postings: DataFrame, use_gaps: bool = True, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """The compressed index as two tables: a vocabulary with the bit at which each part's codes begin, and the codes by those bits.
+
+    Vocabulary: term, part, df, previous, n, docs_at and freqs_at. Codes: docs_at, freqs_at, docs and freqs, in that order.
+    """
+    placed = ordered_scan(compressed(postings, use_gaps, span), ["term", "part"], {"docs_at": "docs_bits", "freqs_at": "freqs_bits"})
+    placed = materialize(placed, "compressed")
+    vocabulary = placed.select("term", "part", "df", "previous", "n", "docs_at", "freqs_at")
+    return vocabulary, placed.select("docs_at", "freqs_at", "docs", "freqs")
+
+
+#: A vbyte code in hex: bytes without the top bit, then one with it.
+_VBYTE = "(?:[0-7][0-9A-F])*[89A-F][0-9A-F]"
+#: A padded gamma code: k ones, a 0 and what is left of its bytes, for every k that a frequency may need.
+_GAMMA = "|".join(f"1{{{k}}}0[01]{{{8 * -(-(2 * k + 1) // 8) - k - 1}}}" for k in range(40))
+
+
+def lookup(vocabulary: DataFrame, codes: DataFrame, terms: DataFrame) -> DataFrame:
+    """The parts of the lists of some terms, found by the bits at which they begin."""
+    return vocabulary.join(terms.select("term").distinct(), "term").join(codes, ["docs_at", "freqs_at"])
+
+
+def decompress(lists: DataFrame, use_gaps: bool = True) -> DataFrame:
+    """term, doc_id, tf and df from parts of compressed lists."""
+    codes = F.arrays_zip(F.regexp_extract_all("docs", F.lit(_VBYTE), F.lit(0)).alias("d"), F.regexp_extract_all("freqs", F.lit(_GAMMA), F.lit(0)).alias("f"))
+    rows = lists.select("term", "part", "df", "previous", F.posexplode(codes).alias("at", "c"))
+    rows = rows.select("term", "part", "df", "previous", "at", unvbyte(F.col("c.d")).alias("gap"), ungamma(F.col("c.f")).alias("tf"))
+    rows = ungap(rows, "at") if use_gaps else rows.withColumnRenamed("gap", "doc_id")
+    return rows.select("term", "doc_id", "tf", "df")
