@@ -1,12 +1,16 @@
 """Language identification by character-pair profiles and Pearson's correlation."""
 
-from __future__ import annotations
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text
 from textloom.operators.stats import min_max
+from textloom.session import ship
+
+UNKNOWN = "unknown"
 
 
 def profile(docs: DataFrame, key: str, column: str = "text", pairs: bool = True) -> DataFrame:
@@ -35,3 +39,26 @@ def best_language(correlated: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pred and r of the highest correlation; constants last, ties to the first name."""
     order = Window.partitionBy(key).orderBy(F.desc_nulls_last(F.round("r", 9)), "lang")
     return correlated.withColumn("k", F.row_number().over(order)).where("k = 1").select(key, F.col("lang").alias("pred"), "r")
+
+
+def by_library(docs: DataFrame, detect: Callable[[str], str] | None = None, languages: DataFrame | None = None) -> DataFrame:
+    """doc_id and lang of docs (doc_id, text) by a library's function; a text on which it fails is `unknown`.
+
+    Without a function the profiles of languages (lang, gram, f) decide.
+    """
+    if detect is None:
+        found = best_language(correlations(profile(docs, "doc_id"), languages))
+        return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("pred", F.lit(UNKNOWN)).alias("lang"))
+    ship(docs.sparkSession)
+
+    def one(text: str | None) -> str:
+        try:
+            return detect(text) or UNKNOWN
+        except Exception:  # whatever a library raises on a text it cannot place
+            return UNKNOWN
+
+    @F.pandas_udf("string")
+    def detected(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return docs.select("doc_id", detected("text").alias("lang"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import text
 from textloom.scratch import drop, materialize
+from textloom.session import ship
 
 HREF = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"']([^\"']*)[\"']"
 
@@ -40,10 +44,17 @@ def physical_depth(url: Column) -> Column:
     return F.size(F.filter(F.split(path, "/"), lambda p: p != "")).cast("long")
 
 
+#: Second-level labels below which countries register names: with a country's label behind one, a registered domain has three labels.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "gub", "int", "ltd", "me", "mil", "net", "nom", "or", "org", "plc", "sch")
+
+
 def domain(url: Column) -> Column:
-    """The last two labels of the host."""
-    host = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    return F.array_join(F.slice(F.split(host, "[.]"), F.greatest(F.lit(1), F.size(F.split(host, "[.]")) - 1), 2), ".")
+    """The registered domain of the host: its last two labels, or three behind a public suffix of two such as co.uk."""
+    host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    labels = F.split(host, "[.]")
+    public = (F.length(F.element_at(labels, -1)) == 2) & F.coalesce(F.get(labels, F.size(labels) - 2).isin(*SECOND_LEVEL), F.lit(False))
+    kept = F.when(public, 3).otherwise(2)
+    return F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - kept + 1), kept), ".")
 
 
 def dynamic(url: Column) -> Column:
@@ -66,6 +77,35 @@ def shared_link_graph(pages: DataFrame, k: int = 3) -> DataFrame:
     return near.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("n") <= k).select("src", "dst")
 
 
+def fetch(urls: DataFrame, fetcher: Callable[[str], str], several: int = 64) -> DataFrame:
+    """url, html and error of each distinct url of urls, by a function that returns a page or raises.
+
+    What it raises, or returns that is no text, gives a null page and the error's name: one page
+    that cannot be had never ends a crawl. `several` tasks fetch at a time.
+    """
+    ship(urls.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for url in batch["url"]:
+                try:
+                    html = fetcher(url)
+                    rows.append((url, html, None) if isinstance(html, str) else (url, None, "no text"))
+                except Exception as error:  # whatever a connection raises
+                    rows.append((url, None, type(error).__name__))
+            yield pd.DataFrame(rows, columns=["url", "html", "error"])
+
+    return urls.select("url").distinct().repartition(several, "url").mapInPandas(run, "url string, html string, error string")
+
+
+def fetched_links(pages: DataFrame) -> DataFrame:
+    """url, pos and link of fetched pages (url, html), as crawl() takes them; a page without links has one row, one that was not had has none."""
+    had = pages.where("html IS NOT NULL")
+    found = outlinks(had.select(F.col("url").alias("page_id"), "url", "html")).select(F.col("page_id").alias("url"), "pos", F.col("url").alias("link"))
+    return had.select("url").join(found, "url", "left")
+
+
 def crawl(seeds: DataFrame, web: DataFrame, per_site: int = 20, max_logical: int = 3, max_physical: int = 3, max_known: int = 1000, max_pages: int | None = None) -> DataFrame:
     """Bounded breadth-first crawl, level by level, with the outcome of a first-in first-out queue.
 
@@ -126,94 +166,124 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """id and score by power iteration; the rank of nodes without links out is shared by all."""
-    links = materialize(edges.distinct(), "links")
-    degree = links.groupBy("src").agg(F.count("*").alias("degree"))
-    every = materialize(nodes(links).join(degree, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")), "nodes")
-    n = every.count()
-    ranks = materialize(every.select("id", "degree", F.lit(1.0 / max(n, 1)).alias("score")), "ranks")
-    for _ in range(rounds):
-        loose = ranks.where("degree = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        given = ranks.join(links, ranks["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("given"))
-        new = every.join(given, every["id"] == given["dst"], "left").select("id", "degree", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / n))).alias("score"))
-        new = materialize(new, "ranks")
-        drop(ranks)
-        ranks = new
-    return ranks.select("id", "score")
+#: Graphs of up to so many links are settled within one task, in numpy: a round costs less there than a job does.
+FEW_LINKS = 1_000_000
 
 
-def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, hub and authority; each round sums along the links and scales to a total of 1."""
-    links = materialize(edges.distinct(), "links")
-    every = materialize(nodes(links), "nodes")
-    n = every.count()
-    hub = materialize(every.select("id", F.lit(1.0 / max(n, 1)).alias("hub")), "hubs")
-    authority = None
+def _settled(change: float, tolerance: float, round_: int, most: int, name: str) -> bool:
+    if change < tolerance:
+        return True
+    if round_ + 1 == most:
+        raise ArithmeticError(f"{name} did not converge in {most} rounds")
+    return False
 
-    def scaled(sums: DataFrame, name: str) -> DataFrame:
-        raw = materialize(every.join(sums, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x")), name)
-        total = raw.agg(F.sum("x")).first()[0] or 1.0
-        return raw.select("id", (F.col("x") / total).alias(name))
 
-    for _ in range(rounds):
-        authority = scaled(links.join(hub, links["src"] == hub["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("x")), "authority")
-        hub = scaled(links.join(authority, links["dst"] == authority["id"]).groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("x")), "hub")
-    return hub.join(authority, "id").select("id", "hub", "authority")
+def _in_one_task(links: DataFrame, settle, columns: str) -> DataFrame:
+    """settle(n, src, dst) -> columns of values, over the whole graph in a single task; src and dst are places among the sorted nodes."""
+    ship(links.sparkSession)
 
+    def run(batches):
+        rows = pd.concat(list(batches))
+        ids, ends = np.unique(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()]), return_inverse=True)
+        values = settle(len(ids), ends[: len(rows)], ends[len(rows) :])
+        yield pd.DataFrame({"id": ids} | dict(zip(columns.split(","), values, strict=True)))
 
-def pagerank_converged(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-9, most: int = 1000) -> DataFrame:
-    """id and score; rounds as in pagerank() until the L1 change is below tolerance, an error if `most` do not get there.
+    kind = links.schema["src"].dataType.simpleString()
+    return links.select("src", "dst").coalesce(1).mapInPandas(run, f"id {kind}, " + ", ".join(f"{c} double" for c in columns.split(",")))
 
-    What is left is below tolerance * alpha / (1 - alpha) in L1.
+
+def _rounds(state: DataFrame, step, values: tuple[str, ...], tolerance: float, most: int, name: str) -> DataFrame:
+    """step() applied to state until the L1 change of every value is below tolerance.
+
+    state holds each value and, as `old_` and its name, that of the round before. Rounds are
+    written, so that lineage stays short, and a round's table goes with the next one.
+    """
+    change = [F.coalesce(F.sum(F.abs(F.col(v) - F.col(f"old_{v}"))), F.lit(0.0)).alias(v) for v in values]
+    for i in range(most):
+        new = materialize(step(state), name)
+        drop(state)
+        state = new
+        if _settled(max(state.agg(*change).first()), tolerance, i, most, name):
+            break
+    return state
+
+
+def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10, most: int = 1000, few_links: int = FEW_LINKS) -> DataFrame:
+    """id and score by power iteration to a tolerance; the rank of nodes without links out is shared by all.
+
+    What is left is below tolerance * alpha / (1 - alpha) in L1. Not to converge in `most` rounds is an error.
     """
     links = materialize(edges.distinct(), "links")
+    n_links = links.count()
+    if not n_links:
+        return nodes(links).select("id", F.lit(0.0).alias("score"))
+    if n_links <= few_links:
+
+        def settle(n, src, dst):
+            degree = np.bincount(src, minlength=n)
+            score, shared = np.full(n, 1.0 / n), np.maximum(degree, 1)
+            for i in range(most):
+                given = np.bincount(dst, (score / shared)[src], n)
+                new = (1 - alpha) / n + alpha * (given + score[degree == 0].sum() / n)
+                change, score = np.abs(new - score).sum(), new
+                if _settled(change, tolerance, i, most, "PageRank"):
+                    break
+            return [score]
+
+        return _in_one_task(links, settle, "score")
     degree = links.groupBy("src").agg(F.count("*").alias("degree"))
-    every = materialize(nodes(links).join(degree, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")), "nodes")
-    sums = every.agg(F.count("*"), F.sum((F.col("degree") == 0).cast("long"))).first()
-    n = max(sums[0], 1)
-    loose = (sums[1] or 0) / n
-    ranks = materialize(every.select("id", "degree", F.lit(1.0 / n).alias("score")), "ranks")
-    for _ in range(most if sums[0] else 0):
+    every = nodes(links).join(degree, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    every = materialize(every, "nodes")
+    n = every.count()
+    state = materialize(every.select("id", "degree", F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("old_score")), "ranks")
+
+    def step(ranks: DataFrame) -> DataFrame:
+        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0)).alias("loose"))  # one row
         given = ranks.join(links, ranks["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("given"))
-        new = ranks.join(given, ranks["id"] == given["dst"], "left").select("id", "degree", F.col("score").alias("old"), (F.lit((1 - alpha) / n) + alpha * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / n))).alias("score"))
-        new = materialize(new, "ranks")
-        drop(ranks)
-        ranks = new
-        change, loose = ranks.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0))).first()
-        if change < tolerance:
-            break
-    else:
-        if sums[0]:
-            raise ArithmeticError(f"PageRank did not converge in {most} rounds")
-    return ranks.select("id", "score")
+        shared = ranks.join(given, ranks["id"] == given["dst"], "left").crossJoin(F.broadcast(loose))
+        score = F.lit((1 - alpha) / n) + alpha * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)
+        return shared.select("id", "degree", score.alias("score"), F.col("score").alias("old_score"))
+
+    return _rounds(state, step, ("score",), tolerance, most, "PageRank").select("id", "score")
 
 
-def hits_converged(edges: DataFrame, tolerance: float = 1e-9, most: int = 1000) -> DataFrame:
-    """id, hub and authority; rounds as in hits() until the L1 change of both is below tolerance, an error if `most` do not get there."""
+def hits(edges: DataFrame, tolerance: float = 1e-10, most: int = 1000, few_links: int = FEW_LINKS) -> DataFrame:
+    """id, hub and authority to a tolerance; each round sums along the links and scales to a total of 1. Not to converge in `most` rounds is an error."""
     links = materialize(edges.distinct(), "links")
+    n_links = links.count()
+    if not n_links:
+        return nodes(links).select("id", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
+    if n_links <= few_links:
+
+        def settle(n, src, dst):
+            hub, authority = np.full(n, 1.0 / n), np.zeros(n)
+            for i in range(most):
+                a = np.bincount(dst, hub[src], n)
+                a /= a.sum()
+                h = np.bincount(src, a[dst], n)
+                h /= h.sum()
+                change = max(np.abs(h - hub).sum(), np.abs(a - authority).sum())
+                hub, authority = h, a
+                if _settled(change, tolerance, i, most, "HITS"):
+                    break
+            return [hub, authority]
+
+        return _in_one_task(links, settle, "hub,authority")
     every = materialize(nodes(links), "nodes")
-    n = every.count()
-    state = materialize(every.select("id", F.lit(1.0 / max(n, 1)).alias("hub"), F.lit(0.0).alias("authority")), "hits")
-    for _ in range(most if n else 0):
-        # the total of a sum over links is that of its terms, so scaling needs no pass of its own
-        raw = links.join(state, links["src"] == state["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("x"))
-        raw = materialize(raw, "authority")
-        total = raw.agg(F.sum("x")).first()[0] or 1.0
-        authority = raw.select("id", (F.col("x") / total).alias("a"))
-        hub = materialize(links.join(authority, links["dst"] == authority["id"]).groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("x")), "hubs")
-        scale = hub.agg(F.sum("x")).first()[0] or 1.0
-        new = state.select("id", F.col("hub").alias("h0"), F.col("authority").alias("a0")).join(hub.select("id", (F.col("x") / scale).alias("hub")), "id", "left").join(authority, "id", "left")
-        new = materialize(new.select("id", "h0", "a0", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("a", F.lit(0.0)).alias("authority")), "hits")
-        for old in (state, raw, hub):
-            drop(old)
-        state = new
-        if max(state.agg(F.sum(F.abs(F.col("hub") - F.col("h0"))), F.sum(F.abs(F.col("authority") - F.col("a0")))).first()) < tolerance:
-            break
-    else:
-        if n:
-            raise ArithmeticError(f"HITS did not converge in {most} rounds")
-    return state.select("id", "hub", "authority")
+    state = every.select("id", F.lit(1.0 / every.count()).alias("hub"), F.lit(0.0).alias("authority"), F.lit(0.0).alias("old_hub"), F.lit(0.0).alias("old_authority"))
+    state = materialize(state, "hits")
+
+    def step(state: DataFrame) -> DataFrame:
+        raw = materialize(links.join(state, links["src"] == state["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a")), "authority")
+        total = raw.agg(F.sum("a")).first()[0]
+        authority = raw.select("id", (F.col("a") / total).alias("a"))
+        hub = links.join(authority.withColumnRenamed("id", "to"), F.col("dst") == F.col("to")).groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("h"))
+        weight = hub.agg(F.sum("h").alias("weight"))  # one row
+        old = state.select("id", F.col("hub").alias("old_hub"), F.col("authority").alias("old_authority"))
+        new = old.join(hub, "id", "left").join(authority, "id", "left").crossJoin(F.broadcast(weight))
+        return new.select("id", F.coalesce(F.col("h") / F.col("weight"), F.lit(0.0)).alias("hub"), F.coalesce("a", F.lit(0.0)).alias("authority"), "old_hub", "old_authority")
+
+    return _rounds(state, step, ("hub", "authority"), tolerance, most, "HITS").select("id", "hub", "authority")
 
 
 def order_by(scores: DataFrame, score: str) -> DataFrame:
@@ -234,5 +304,3 @@ def two_hops(edges: DataFrame) -> DataFrame:
     second = e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
     return e.union(second).where("src <> dst").distinct()
 
-
-page_text = text.html_text

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +32,10 @@ def text_directory(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
     return _files(spark, path, "*.txt", False, encoding).select("doc_name", "text")
 
 
-def html_directory(spark: SparkSession, path: str, every_file: bool = False) -> DataFrame:
-    """doc_name (stem), html and text of the pages below a folder; with every_file whatever their extension."""
+def html_directory(spark: SparkSession, path: str, every_file: bool = False, keep_path: bool = False) -> DataFrame:
+    """doc_name (stem), html and text of the pages below a folder, and their path on request; with every_file whatever their extension."""
     found = _files(spark, path, None if every_file else "*.html", True)
-    return found.select(F.regexp_replace("doc_name", "[.][^.]*$", "").alias("doc_name"), F.col("text").alias("html"), html_text(F.col("text")).alias("text"))
+    return found.select(F.regexp_replace("doc_name", "[.][^.]*$", "").alias("doc_name"), F.col("text").alias("html"), html_text(F.col("text")).alias("text"), *["path"] * keep_path)
 
 
 def trec(spark: SparkSession, path: str) -> DataFrame:
@@ -94,12 +95,24 @@ def language_samples(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, None, False, "ISO-8859-1").select(F.regexp_replace("doc_name", "[.][^.]*$", "").alias("lang"), "text")
 
 
+_ENTRY = "term string, df long, cf long, postings map<string, long>"
+_SAVED = {"postings": "doc_id long, term string, tf long", "vocabulary": "term string, df long, cf long", "documents": "doc_id long", "norms": "doc_id long, norm double"}
+
+
+def _or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
+    """What read() gives, or an empty table if nothing is there or none of it can be read as a table."""
+    try:
+        return read()
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def json_index(spark: SparkSession, path: str) -> DataFrame:
-    """term, df, cf, doc_id and tf from an index written by sinks.json_index."""
-    raw = spark.read.schema("term string, df long, cf long, postings map<string, long>").json(path)
+    """term, df, cf, doc_id and tf from an index written by sinks.json_index; a missing one is empty, lines that are no entries are left out."""
+    raw = _or_empty(spark, lambda: spark.read.schema(_ENTRY).json(path), _ENTRY).where("term IS NOT NULL AND postings IS NOT NULL")
     return raw.select("term", "df", "cf", F.explode("postings").alias("doc_id", "tf")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def saved_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of an index written by sinks.save_index; lists of a term are found by pushed-down filters on term."""
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "documents", "norms")}
+    """The tables of an index written by sinks.save_index, empty ones where it is missing; lists of a term are found by pushed-down filters on term."""
+    return {name: _or_empty(spark, lambda name=name: spark.read.parquet(f"{path}/{name}"), schema) for name, schema in _SAVED.items()}
