@@ -1,6 +1,6 @@
 import pytest
 
-from textloom.plans import base, corpus, retrieval, web  # noqa: F401
+from textloom.plans import base, corpus, files, retrieval, web  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(base.SQL))

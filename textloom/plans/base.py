@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import stopwords, text
@@ -17,8 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _shared: dict[tuple, tuple] = {}
 
-QUERY_WORDS = 6
-
 
 def query(sql: str | None = None):
     """Register a function as a query under its own name, with its DuckDB SQL if there is one."""
@@ -63,9 +61,9 @@ def ascii_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid and query: the first words of each benchmark passage that are longer than three letters."""
+    """qid and query: the words of each benchmark passage that are longer than three letters."""
     words = F.filter(text.tokens(F.col("text"), text.SPANISH), lambda t: F.length(t) > 3)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 1, QUERY_WORDS), " ").alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("query"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,19 +80,49 @@ def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.norms(index(spark, sf_dir), docs(spark, sf_dir).count())
 
 
+#: A passage's candidates share its run of words from the second on, of so many words; passages up to FEW are broadcast.
+RUN, FEW = 8, 100_000
+
+
 @shared("qrels")
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid and doc_id of documents that hold a topic's whole passage.
+    """qid and doc_id of documents that hold a topic's whole passage."""
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    return containing(docs(spark, sf_dir).select("doc_id", "text"), passages)
+
 
-    Candidates share the passage's first eight words as a run of words; the passage is then looked for in full.
+def _runs(words: Column, n: int) -> Column:
+    """The hashes of the runs of n words; the words are bound once."""
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+    return F.transform(F.array(words), lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.lit(n), F.slice(w, i, F.lit(n)))))[0]
+
+
+def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """qid and doc_id of the documents (doc_id, text) that hold a passage (qid, passage).
+
+    A passage's first and last word may be parts of words; candidates share the words between,
+    RUN of them at most, as a run. Documents are met where they are read as long as the passages
+    are few. Passages of one or two words have no word between and are looked for in every text.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    passages = passages.withColumn("run", F.xxhash64(F.slice(words("passage"), 2, 8)))
-    held = docs(spark, sf_dir).select("doc_id", words("text").alias("w"))
-    runs = held.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 8))))).alias("run"))
-    near = runs.join(passages, "run").select("doc_id", "qid", "passage")
-    return near.join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("qid", "doc_id").distinct()
+    held = passages.where("passage IS NOT NULL").withColumn("w", words("passage")).withColumn("length", F.least(F.lit(RUN), F.greatest(F.size("w") - 2, F.lit(0))))
+    # a passage that begins with white space begins with a whole word, which is left out all the same
+    held = held.select("qid", "passage", "length", F.xxhash64("length", F.slice("w", F.lit(2), F.col("length"))).alias("run"))
+    held = materialize(held, "passages")
+    lengths = [r["length"] for r in held.select("length").distinct().collect()]  # RUN + 1 values at most
+    few = F.broadcast if held.count() <= FEW else lambda df: df
+    found = []
+    for n in lengths:
+        some = few(held.where(F.col("length") == n))
+        if not n:
+            found.append(documents.join(some, F.contains("text", F.col("passage"))).select("qid", "doc_id"))
+            continue
+        runs = documents.select("doc_id", "text", F.explode(F.array_distinct(_runs(words("text"), n))).alias("run"))
+        found.append(runs.join(some, "run").where(F.contains("text", F.col("passage"))).select("qid", "doc_id"))
+    out = found[0] if found else documents.sparkSession.createDataFrame([], "qid long, doc_id long")
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out.distinct()
 
 
 # ---- the same in SQL
@@ -113,7 +141,7 @@ INDEX_SQL = f"""{tokens_sql(text.SPANISH)},
 post AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE {KEEP_SQL} GROUP BY doc_id, term),
 voc AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term)"""
 ASCII_SQL = f"{tokens_sql(text.ASCII)}, post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term), voc AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term)"
-TOPICS_SQL = f"""top AS (SELECT item_id AS qid, array_to_string(list_slice(list_filter(regexp_extract_all(lower(text), '{text.SPANISH}'), lambda t: length(t) > 3), 1, {QUERY_WORDS}), ' ') AS query FROM benchmark),
+TOPICS_SQL = f"""top AS (SELECT item_id AS qid, array_to_string(list_filter(regexp_extract_all(lower(text), '{text.SPANISH}'), lambda t: length(t) > 3), ' ') AS query FROM benchmark),
 qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(regexp_extract_all(lower(query), '{text.SPANISH}')) AS term FROM top) WHERE {KEEP_SQL} GROUP BY qid, term)"""
 MATCHED_SQL = f"""{INDEX_SQL}, {TOPICS_SQL},
 lens AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS dl FROM post GROUP BY doc_id),

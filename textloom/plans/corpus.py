@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import stemmers, stopwords, text
 from textloom.operators import index as ix
 from textloom.operators import profiles, stats
-from textloom.plans.base import ASCII_SQL, INDEX_SQL, ascii_postings, docs, index, query, tokens_sql
+from textloom.plans.base import ASCII_SQL, INDEX_SQL, ascii_postings, docs, index, query, tokens_sql, shared
 from textloom.scratch import materialize
 from textloom.sources.readers import table
 
@@ -102,14 +102,17 @@ def spanish_filtered_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entity(kind: str, pattern: str) -> None:
-    source, column = ("pages", "url") if kind == "url" else ("documents", "text")
+    # addresses of pages are looked through for URLs as well
+    more = kind == "url"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = table(spark, sf_dir, source).select(F.explode(text.matches(F.col(column), pattern)).alias("entity"))
+        texts = docs(spark, sf_dir).select("text")
+        texts = texts.union(table(spark, sf_dir, "pages").select("url")) if more else texts
+        found = texts.select(F.explode(text.matches(F.col("text"), pattern)).alias("entity"))
         return found.groupBy(F.lower("entity").alias("entity")).agg(F.count("*").alias("n"))
 
     run.__name__ = f"entity_{kind}_counts"
-    query(f"SELECT lower(e) AS entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all({column}, '{pattern}')) AS e FROM {source}) GROUP BY 1")(run)
+    query(f"SELECT lower(e) AS entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{pattern}')) AS e FROM (SELECT text FROM documents{' UNION ALL SELECT url FROM pages' if more else ''})) GROUP BY 1")(run)
 
 
 for _kind, _pattern in text.ENTITIES.items():
@@ -232,7 +235,7 @@ def char_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_profile_sql('lang', True, 'p')} SELECT lang, gram, round(f, 6) AS f FROM p")
 def bigram_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profiles.profile(docs(spark, sf_dir), "lang"))
+    return _rounded(_languages(spark, sf_dir))
 
 
 _LANGID = f"""WITH {_profile_sql('doc_id', True, 'd')}, {_profile_sql('lang', True, 'l')},
@@ -244,9 +247,19 @@ _LANGID = f"""WITH {_profile_sql('doc_id', True, 'd')}, {_profile_sql('lang', Tr
   best AS (SELECT doc_id, lang AS pred, r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(r, 9) DESC NULLS LAST, lang) AS k FROM r) WHERE k = 1)"""
 
 
+@shared("profiles of documents")
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.profile(docs(spark, sf_dir), "doc_id")
+
+
+@shared("profiles of languages")
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.profile(docs(spark, sf_dir), "lang")
+
+
+@shared("languages found")
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = docs(spark, sf_dir)
-    return profiles.best_language(profiles.correlations(profiles.profile(every, "doc_id"), profiles.profile(every, "lang")))
+    return profiles.best_language(profiles.correlations(_samples(spark, sf_dir), _languages(spark, sf_dir)))
 
 
 @query(f"{_LANGID} SELECT doc_id, pred, round(r, 6) AS r FROM best")

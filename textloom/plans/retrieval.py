@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,10 +43,10 @@ def posting_offsets_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.offsets(index(spark, sf_dir), 12)
 
 
-@query(f"WITH {INDEX_SQL} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM post GROUP BY term")
+@query(f"WITH {INDEX_SQL} SELECT term, part, df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM (SELECT *, doc_id // {ix.SPAN} AS part FROM post) JOIN voc USING (term) GROUP BY term, part, df")
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = ix.posting_lists(index(spark, sf_dir))
-    return lists.select("term", "df", F.array_join(F.transform("postings", lambda p: F.concat(p["doc_id"], F.lit(":"), p["tf"])), ",").alias("postings"))
+    return lists.select("term", "part", "df", F.array_join(F.transform("postings", lambda p: F.concat(p["doc_id"], F.lit(":"), p["tf"])), ",").alias("postings"))
 
 
 _NORMS = f"nr AS (SELECT doc_id, sqrt(sum(pow((1 + {L2('tf')}) * {L2('(SELECT count(*) FROM documents) / df')}, 2))) AS norm FROM post JOIN voc USING (term) GROUP BY doc_id)"
@@ -176,26 +176,12 @@ def postings_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("tion", "tf_a").join(one("ther", "tf_b"), "doc_id")
 
 
-@query(f"""WITH {INDEX_SQL}, u AS (SELECT turn_id, term, min(pos) AS pos FROM (SELECT conv_id * 1000 + turn AS turn_id, unnest(list_slice(list_filter(regexp_extract_all(lower(text), '[a-záéíóúñü]+'), lambda t: length(t) > 3), 1, 3)) AS term, generate_subscripts(list_slice(list_filter(regexp_extract_all(lower(text), '[a-záéíóúñü]+'), lambda t: length(t) > 3), 1, 3), 1) AS pos FROM conversations WHERE role = 'user') GROUP BY ALL)
-  SELECT turn_id, count(*) AS n_terms, string_agg(term, ' ' ORDER BY pos) AS terms FROM u LEFT JOIN voc USING (term) GROUP BY turn_id HAVING count(*) IN (2, 3) AND count(df) = count(*)""")
-def query_log_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines whose two or three terms are all in the vocabulary: those that the workload templates take."""
-    from textloom.functions import text
-
-    words = F.slice(F.filter(text.tokens(F.col("text"), text.SPANISH), lambda t: F.length(t) > 3), 1, 3)
-    log = readers.table(spark, sf_dir, "conversations").where("role = 'user'")
-    terms = log.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.posexplode(words).alias("pos", "term")).groupBy("turn_id", "term").agg(F.min("pos").alias("pos"))
-    known = terms.join(ix.vocabulary(index(spark, sf_dir)).select("term", "df"), "term", "left")
-    lines = known.groupBy("turn_id").agg(F.count("*").alias("n_terms"), F.count("df").alias("n_known"), F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("t"))
-    return lines.where(F.col("n_terms").isin(2, 3) & (F.col("n_known") == F.col("n_terms"))).select("turn_id", "n_terms", F.array_join("t.term", " ").alias("terms"))
-
-
-_WHOLE_LOG = f"""WITH {INDEX_SQL}, lt AS (SELECT DISTINCT turn_id, term FROM (SELECT conv_id * 1000 + turn AS turn_id, unnest(regexp_extract_all(lower(text), '{text.SPANISH}')) AS term FROM conversations WHERE role = 'user') WHERE {KEEP_SQL}),
+_LOG = f"""WITH {INDEX_SQL}, lt AS (SELECT DISTINCT turn_id, term FROM (SELECT conv_id * 1000 + turn AS turn_id, unnest(regexp_extract_all(lower(text), '{text.SPANISH}')) AS term FROM conversations WHERE role = 'user') WHERE {KEEP_SQL}),
   lg AS (SELECT turn_id, count(*) AS n_terms, string_agg(term, ' ' ORDER BY term) AS terms FROM lt LEFT JOIN voc USING (term) GROUP BY turn_id HAVING count(*) IN (2, 3) AND count(df) = count(*))"""
 
 
-@query(f"{_WHOLE_LOG} SELECT turn_id, n_terms, terms FROM lg")
-def query_log_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"{_LOG} SELECT turn_id, n_terms, terms FROM lg")
+def query_log_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines with exactly two or three index terms in the whole turn, all in the vocabulary; terms in their own order, as the reference sorts them."""
     log = readers.table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))
     terms = rk.query_terms(log)
@@ -213,12 +199,12 @@ def _template_sql(template: str) -> str:
 _TEMPLATES = [(n, t) for n, several in boolean.TEMPLATES.items() for t in several]
 
 
-@query(f"""{_WHOLE_LOG}, ln AS (SELECT DISTINCT n_terms, terms, string_split(terms, ' ') AS w FROM lg),
+@query(f"""{_LOG}, ln AS (SELECT DISTINCT n_terms, terms, string_split(terms, ' ') AS w FROM lg),
   fl AS (SELECT n_terms, terms, doc_id, bool_or(term = w[1]) AS t0, bool_or(term = w[2]) AS t1, coalesce(bool_or(term = w[3]), false) AS t2 FROM ln JOIN post ON list_contains(w, term) GROUP BY ALL)
   {" UNION ALL ".join(f"SELECT terms, '{t}' AS template, doc_id FROM fl WHERE n_terms = {n} AND ({_template_sql(t)})" for n, t in _TEMPLATES)}""")
 def query_log_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each template query over the terms of accepted lines, once for lines with the same terms."""
-    lines = query_log_gate_whole(spark, sf_dir).select("n_terms", "terms").distinct()
+    lines = query_log_gate(spark, sf_dir).select("n_terms", "terms").distinct()
     asked = lines.select("n_terms", "terms", F.posexplode(F.split("terms", " ")).alias("place", "term"))
     flags = asked.join(index(spark, sf_dir).select("doc_id", "term"), "term").groupBy("n_terms", "terms", "doc_id").agg(*(F.max(F.col("place") == i).alias(f"t{i}") for i in range(3)))
     held = F.array(*(F.when((F.col("n_terms") == n) & F.expr(_template_sql(t)), F.lit(t)) for n, t in _TEMPLATES))
@@ -282,12 +268,60 @@ def gamma_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).select("term", "doc_id", ix.gamma(F.col("tf")).alias("bits"), ix.gamma(F.col("tf"), True).alias("padded"))
 
 
-@query(f"""{_CODES}, l AS (SELECT term, count(*) AS df, string_agg(docs_hex, '' ORDER BY doc_id) AS docs, string_agg(tf_bits, '' ORDER BY doc_id) AS freqs FROM c GROUP BY term)
-  SELECT term, df, docs, freqs, length(docs) * 4 AS docs_bits, length(freqs) AS freqs_bits FROM l""")
+_LISTS = f"""{_CODES}, p AS (SELECT *, doc_id // {ix.SPAN} AS part, doc_id - gap AS before FROM c),
+  l AS (SELECT term, part, any_value(df) AS df, arg_min(before, doc_id) AS previous, count(*) AS n, string_agg(docs_hex, '' ORDER BY doc_id) AS docs, string_agg(tf_bits, '' ORDER BY doc_id) AS freqs FROM p JOIN voc USING (term) GROUP BY term, part)"""
+
+
+@query(f"{_LISTS} SELECT term, part, df, previous, n, docs, freqs, length(docs) * 4 AS docs_bits, length(freqs) AS freqs_bits FROM l")
 def compressed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.compressed(index(spark, sf_dir))
 
 
+@shared("vocabulary_of_codes")
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir)[0]
+
+
+@shared("codes")
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted by the bit at which they begin, so that row groups are skipped when a few lists are asked for."""
+    return _stored(spark, sf_dir)[1].repartitionByRange("docs_at").sortWithinPartitions("docs_at")
+
+
+@cache
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return ix.store_compressed(index(spark, sf_dir))
+
+
+@query(f"""{_LISTS} SELECT term, part, df, previous, n, CAST(coalesce(sum(4 * length(docs)) OVER w, 0) AS BIGINT) AS docs_at, CAST(coalesce(sum(length(freqs)) OVER w, 0) AS BIGINT) AS freqs_at
+  FROM l WINDOW w AS (ORDER BY term, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def compressed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bits at which the codes of each part of a list begin."""
+    return _vocabulary(spark, sf_dir)
+
+
+@query(f"WITH {INDEX_SQL} SELECT term, doc_id, tf, df FROM post JOIN voc USING (term)")
+def decompressed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = _vocabulary(spark, sf_dir)
+    return ix.decompress(vocabulary.join(_codes(spark, sf_dir), ["docs_at", "freqs_at"]))
+
+
+@query(f"WITH {INDEX_SQL} SELECT term, doc_id, tf FROM post")
+def decompressed_index_without_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.decompress(ix.compressed(index(spark, sf_dir), use_gaps=False), use_gaps=False).select("term", "doc_id", "tf")
+
+
+@query(f"WITH {MATCHED_SQL}, {_top_sql(RUN_SQL['rank_taat'], 10)} SELECT qid, doc_id, score, rank FROM run")
+def rank_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot-product ranking over the compressed index: only the lists of the query terms are found, by their bits, and decoded."""
+    terms = asked(spark, sf_dir)
+    found = ix.decompress(ix.lookup(_vocabulary(spark, sf_dir), _codes(spark, sf_dir), terms))
+    n_docs = docs(spark, sf_dir).agg(F.count("*").alias("n_docs"))  # one row
+    rows = found.join(terms, "term").crossJoin(F.broadcast(n_docs))
+    run = rk.ranking(rows, rk.dot_product())
+    return rk.top(run.select("qid", "doc_id", F.round("score", 6).alias("score")), 10)
+
+
 @query(f"""{_GAPS} SELECT 8 * count(*) AS plain, 12 * count(*) AS with_skips, CAST(sum(length({_vbyte_sql('doc_id')}) // 2) AS BIGINT) AS vbyte,
   CAST(sum(length({_vbyte_sql('gap')}) // 2) AS BIGINT) AS gap_vbyte, CAST(sum(length({_gamma_sql('tf')})) AS BIGINT) AS gamma_bits, CAST(sum(length({_padded_sql('tf')}) // 8) AS BIGINT) AS gamma_bytes FROM g""")
 def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,15 +342,16 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INDEX_SQL} SELECT term, doc_id, CAST(1 AS BIGINT) AS tf FROM post")
 def index_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines `term:df:ids,` written from the index and read back."""
-    lists = index(spark, sf_dir).groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    """Lines `term:df:ids,` of each part of a list written from the index and read back."""
+    lists = ix.posting_lists(index(spark, sf_dir)).withColumn("ids", F.col("postings.doc_id"))
     lines = lists.select(F.concat("term", F.lit(":"), "df", F.lit(":"), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit(",")).alias("value"))
     return readers.prebuilt_index(lines)
 
 
 # ---- evaluation
 
-DEPTH = 50
+#: Documents of a run that are evaluated: as many as the evaluated systems return where nothing else is asked of them.
+DEPTH = 1000
 SYSTEMS = ("rank_bm25", "rank_tfidf", "rank_hiemstra", "rank_dirichlet")
 
 
@@ -324,10 +359,7 @@ SYSTEMS = ("rank_bm25", "rank_tfidf", "rank_hiemstra", "rank_dirichlet")
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system, qid, doc_id, score and rank of the first documents of each system."""
     every = [rk.top(run_of(name, spark, sf_dir), DEPTH).select(F.lit(name).alias("system"), "qid", "doc_id", "score", "rank") for name in SYSTEMS]
-    out = every[0]
-    for other in every[1:]:
-        out = out.union(other)
-    return out
+    return reduce(DataFrame.union, every)
 
 
 _EVAL = f"""{CTES}, {QRELS_SQL}, {', '.join(_top_sql(RUN_SQL[s], DEPTH, f'run_{s}') for s in SYSTEMS)},
@@ -348,12 +380,12 @@ _EVAL = f"""{CTES}, {QRELS_SQL}, {', '.join(_top_sql(RUN_SQL[s], DEPTH, f'run_{s
 
 
 def _each(spark: SparkSession, sf_dir: str, what) -> DataFrame:
-    """what(run, qrels) of every system, with its name."""
-    rows, out = runs(spark, sf_dir), None
-    for name in SYSTEMS:
-        one = what(rows.where(F.col("system") == name), qrels(spark, sf_dir)).withColumn("system", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """what(run, qrels) of every system in one plan: a system's query is a query of its own."""
+    systems = F.explode(F.array(*map(F.lit, SYSTEMS)))
+    judged = qrels(spark, sf_dir).select(systems.alias("system"), "qid", "doc_id").select(F.struct("system", "qid").alias("qid"), "doc_id")
+    found = what(runs(spark, sf_dir).withColumn("qid", F.struct("system", "qid")).drop("system"), judged)
+    rest = [c for c in found.columns if c != "qid"]
+    return found.select("qid.system", "qid.qid", *rest)
 
 
 @query(f"WITH {QRELS_SQL} SELECT qid, doc_id FROM qrels")
@@ -406,7 +438,6 @@ def metric_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(metrics_per_query(spark, sf_dir), ["system", "measure"])
 
 
-K = 10
 DEPTHS = (10, 25, 50)
 
 
@@ -420,16 +451,9 @@ def _correlation_sql(k: int) -> str:
   SELECT qid, round(rho, 6) AS rho, round(tau, 6) AS tau FROM rh JOIN ta USING (qid)"""
 
 
-@query(_correlation_sql(K))
-def model_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spearman's rho and Kendall's tau-b of two models over the first ten documents of one."""
-    rows = evaluation.correlation(run_of("rank_tfidf", spark, sf_dir), run_of("rank_bm25", spark, sf_dir), K)
-    return rows.select("qid", F.round("rho", 6).alias("rho"), F.round("tau", 6).alias("tau"))
-
-
 @query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS top_k, * FROM ({_correlation_sql(k)})" for k in DEPTHS))
-def model_rank_correlation_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the first 10, 25 and 50 documents; a query has no row for a depth that it does not reach."""
+def model_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spearman's rho and Kendall's tau-b of two models over the first 10, 25 and 50 documents of one; a query has no row for a depth that it does not reach."""
     a, b = (run_of(x, spark, sf_dir) for x in ("rank_tfidf", "rank_bm25"))
     by_a = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     both = a.join(b.withColumnRenamed("score", "other"), ["qid", "doc_id"])

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from textloom.operators import evaluation, web
 from textloom.plans.base import query, shared
+from textloom.scratch import folder
+from textloom.sources import sinks
 from textloom.sources.readers import table
 
-ROUNDS = 10
+#: Rounds of the SQL, which cannot stop by a tolerance: more than the queries need to reach theirs.
+ROUNDS = 100
 HOST = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 LINKS_SQL = rf"""lk AS (SELECT page_id, pos - 1 AS pos, href, CASE WHEN href LIKE '/%' THEN {HOST} || href ELSE href END AS url FROM
   (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS h FROM pages)))"""
@@ -18,7 +21,8 @@ GRAPH_SQL = f"""{LINKS_SQL}, hs AS (SELECT DISTINCT page_id, href FROM lk),
   ed AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM pair) WHERE n <= 3),
   nd AS MATERIALIZED (SELECT src AS id FROM ed UNION SELECT dst FROM ed)"""
 DEPTH_SQL = "len(list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/'), lambda p: p <> ''))"
-DOMAIN_SQL = "array_to_string(list_slice(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.'), -2, -1), '.')"
+_LABELS = "string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.')"
+DOMAIN_SQL = f"array_to_string(list_slice({_LABELS}, CASE WHEN length({_LABELS}[-1]) = 2 AND len({_LABELS}) > 1 AND {_LABELS}[-2] IN ({', '.join(repr(x) for x in web.SECOND_LEVEL)}) THEN -3 ELSE -2 END, -1), '.')"
 
 
 @shared("graph")
@@ -97,12 +101,12 @@ def _hits_sql() -> str:
 
 @shared("pagerank")
 def _pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.pagerank(graph(spark, sf_dir), rounds=ROUNDS)
+    return web.pagerank(graph(spark, sf_dir))
 
 
 @shared("hits")
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.hits(graph(spark, sf_dir), rounds=ROUNDS)
+    return web.hits(graph(spark, sf_dir))
 
 
 @query(f"WITH {_pagerank_sql()} SELECT id, round(s, 6) AS score FROM r{ROUNDS}")
@@ -124,52 +128,27 @@ def pagerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.order_by(_pagerank(spark, sf_dir), "score")
 
 
-@query(f"""WITH {_pagerank_sql()}, {_order_sql(f'r{ROUNDS}', 'o')}, di AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM nd),
-  ks AS (SELECT unnest(range(10, (SELECT least(501, count(*)) FROM o), 10)) AS k)
-  SELECT k, (SELECT count(*) FROM o JOIN di USING (id) WHERE greatest(o.rank, di.rank) <= k) / k AS overlap FROM ks""")
-def rank_overlap_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of the PageRank order with the order of discovery (by id)."""
-    by_rank = web.order_by(_pagerank(spark, sf_dir), "score")
-    found = web.nodes(graph(spark, sf_dir)).withColumn("score", -F.col("id").cast("double"))
-    return evaluation.overlap(by_rank, web.order_by(found, "score"))
-
-
-@shared("pagerank_converged")
-def _pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.pagerank_converged(graph(spark, sf_dir))
-
-
-@shared("hits_converged")
-def _hits_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.hits_converged(graph(spark, sf_dir))
-
-
-@query()
-def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """To convergence, so no SQL of a set number of rounds; held against matrices in the tests, as are the next ones."""
-    return _pagerank_converged(spark, sf_dir).select("id", F.round("score", 6).alias("score"))
-
+@query(f"WITH {_hits_sql()}, {_order_sql(f'a{ROUNDS}', 'o')} SELECT id, rank FROM o")
+def hits_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by authority."""
+    return web.order_by(_hits(spark, sf_dir), "authority")
 
-@query()
-def hits_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits_converged(spark, sf_dir).select("id", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
 
+_OVERLAP = """ks AS (SELECT unnest(range(10, (SELECT least(501, count(*)) FROM o), 10)) AS k)
+  SELECT k, (SELECT count(*) FROM o JOIN di USING (id) WHERE greatest(o.rank, di.rank) <= k) / k AS overlap FROM ks"""
 
-@query()
-def pagerank_converged_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.order_by(_pagerank_converged(spark, sf_dir), "score")
 
-
-@query()
-def hits_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes by authority."""
-    return web.order_by(_hits_converged(spark, sf_dir), "authority")
+@query(f"""WITH {_pagerank_sql()}, {_order_sql(f'r{ROUNDS}', 'o')}, {_hits_sql()[len(GRAPH_SQL) + 2:]}, {_order_sql(f'a{ROUNDS}', 'di')}, {_OVERLAP}""")
+def rank_overlap_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of the PageRank order with the authority order of HITS."""
+    return evaluation.overlap(pagerank_order(spark, sf_dir), hits_order(spark, sf_dir))
 
 
-@query()
-def pagerank_authority_overlap_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of the PageRank order with the authority order of HITS, both converged."""
-    return evaluation.overlap(pagerank_converged_order(spark, sf_dir), hits_order(spark, sf_dir))
+@query(f"""WITH {_pagerank_sql()}, {_order_sql(f'r{ROUNDS}', 'o')}, di AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM nd), {_OVERLAP}""")
+def discovery_overlap_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of the PageRank order with the order of discovery (by id)."""
+    found = web.nodes(graph(spark, sf_dir)).withColumn("score", -F.col("id").cast("double"))
+    return evaluation.overlap(pagerank_order(spark, sf_dir), web.order_by(found, "score"))
 
 
 def _offline_web(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,3 +176,27 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both caps at 500 pages, 50 a site; only what was visited is returned."""
     return _crawl(spark, sf_dir, per_site=50, max_known=500, max_pages=500).where("visited")
+
+
+@query()
+def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the number of links from a seed."""
+    return _crawl(spark, sf_dir).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))
+
+
+@query()
+def crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between the pages of a crawl, by their numbers."""
+    return _crawl(spark, sf_dir).select(F.col("id").alias("src"), F.explode(F.split("outlinks", ",")).alias("dst")).where("dst <> ''").select("src", F.col("dst").cast("long").alias("dst"))
+
+
+@query(f"""WITH {GRAPH_SQL}, c AS (SELECT page_id AS id, url AS label, CASE WHEN page_id <= (SELECT min(page_id) + 4 FROM pages) THEN 'red' WHEN contains(url, '?') THEN 'deepskyblue' WHEN page_id NOT IN (SELECT src FROM ed) THEN 'limegreen' ELSE 'yellow' END AS color FROM pages)
+  SELECT id, label, color, (SELECT count(*) FROM ed WHERE src = id) AS n_links FROM c""")
+def graph_for_viewer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page graph written for a viewer and read back: each node with its number of links."""
+    path = folder(spark, "viewer")
+    labels = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("label"))
+    sinks.viewer_files(node_class(spark, sf_dir).join(labels, "id"), graph(spark, sf_dir), path)
+    nodes = spark.read.schema("id long, label string, color string").json(f"{path}/nodes")
+    edges = spark.read.schema("`from` long, `to` long").json(f"{path}/edges").groupBy(F.col("from").alias("id")).agg(F.count("*").alias("n"))
+    return nodes.join(edges, "id", "left").select("id", "label", "color", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
