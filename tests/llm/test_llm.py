@@ -87,6 +87,59 @@ def test_toxicity_gradients():
         assert (up - down) / 2e-3 == pytest.approx(float(g[name][at]), rel=0.05, abs=2e-4)
 
 
+def brute_logit(network, words):
+    """The logit of one window, word by word and number by number."""
+    p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    size = toxicity.HIDDEN
+    xs = []
+    for w in map(toxicity.normal, words):
+        marked = f"^{w}$"
+        hashed = lambda g: int(toxicity.hashes(toxicity.code_points(g), len(g))[-1] % toxicity.BUCKETS)
+        beginnings = [marked[:n] for n in toxicity.BEGINNINGS if len(marked) >= n]
+        inner = [marked[i : i + n] for n in toxicity.INNER for i in range(len(marked) - n + 1)]
+        means = [np.mean([p["char"][hashed(g)] for g in [*grams, marked[-2:]]], axis=0) for grams in (beginnings, inner)]
+        xs.append(np.concatenate([p["word"][network.words.get(w, 0)], *means]))
+    states = {}
+    for way, order in (("f", range(len(xs))), ("b", reversed(range(len(xs))))):
+        h = np.zeros(size)
+        for i in order:
+            x = xs[i] @ p[f"w{way}"] + p[f"b{way}"]
+            z = 1 / (1 + np.exp(-(x[:size] + h @ p[f"u{way}"][:, :size])))
+            r = 1 / (1 + np.exp(-(x[size : 2 * size] + h @ p[f"u{way}"][:, size : 2 * size])))
+            c = np.tanh(x[2 * size :] + (r * h) @ p[f"u{way}"][:, 2 * size :])
+            h = (1 - z) * h + z * c
+            states[way, i] = h
+    both = [np.concatenate([states["f", i], states["b", i]]) for i in range(len(xs))]
+    weights = np.exp([np.tanh(s @ p["attend"] + p["attend_b"]) @ p["attend_v"] for s in both])
+    return sum(w * s for w, s in zip(weights / weights.sum(), both, strict=True)) @ p["out"] + p["out_b"][0]
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rows = noisy(4, 150)
+    network = toxicity.train([t for _, t, _ in rows], [k for *_, k in rows], rounds=1)
+    texts = [t for _, t, _ in noisy(5, 12)] + [" ".join(f"w{i}" for i in range(n)) for n in (1, 31, 32, 33, 48, 49, 200)] + ["Vileword, (vilewords) ünïcode! \u6f22\u5b57"]
+    found = {r.i: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), network).collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if len(words) > toxicity.WINDOW else [0]
+        logits = [brute_logit(network, words[s : s + toxicity.WINDOW]) for s in starts]
+        assert found[i].windows == len(logits)
+        assert found[i].score == pytest.approx(1 / (1 + np.exp(-(network.scale * max(logits) + network.shift))), abs=1e-4)
+
+
+def test_toxicity_query_uses_no_label_that_is_held_out(spark, small, tmp_path):
+    query = registry.QUERIES["op1_toxicity"]
+    first = {r.doc_id: (r.held_out, r.score, r.predicted) for r in query(spark, small).collect()}
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= s <= 1 and p == int(s >= 0.7) for i, (h, s, p) in first.items())
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = spark.read.parquet(f"{small}/labels.parquet").withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string")).write.parquet(str(tmp_path / "documents.parquet"))
+    again = {r.doc_id: (r.held_out, r.score, r.predicted) for r in query(spark, str(tmp_path)).collect()}
+    assert {i: (h, round(s, 5)) for i, (h, s, _) in again.items()} == {i: (h, round(s, 5)) for i, (h, s, _) in first.items()}
+
+
 def test_toxicity_of_odd_input(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (3, 0), (8, None)], "doc_id long, toxic int")
     assert toxicity.fit(odd, labels) is None  # one kind only: the null text teaches nothing
@@ -267,8 +320,9 @@ def test_chat_parts(spark):
     assert [(t.role, t.text) for t in row.turns] == [("user", "see <|turn|> & [x]<|image_1|><|audio_2|>"), ("assistant", "é\n<|end|>"), ("user", "")]
     assert row.loss == "é\n<|end|>" and row.expanded_tokens == 263 and [(a.type, a.ref, a.place) for a in row.attachments] == [("image", "u://1", 1), ("audio", "u://2", 2)]
     assert row.formatted.count(chat.TURN) == 3
-    with pytest.raises(Exception, match="unknown part type"):
-        chat.format_chats(spark.createDataFrame([(1, 0, "user", [("video", None, None, None)])], f"conv_id long, turn long, role string, parts array<{part}>")).collect()
+    rows = [(1, 0, "user", [("video", None, "u://3", 9), (None, "x", None, None), ("text", "y", None, None)])]
+    row = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>")).first()
+    assert "<|part_1|><|part_2|>y" in row.formatted and row.expanded_tokens == 9 and [(a.type, a.ref) for a in row.attachments] == [("video", "u://3"), (None, None)]
 
 
 def test_chat_of_odd_input(spark):
@@ -277,6 +331,8 @@ def test_chat_of_odd_input(spark):
     got = {r.conv_id: [(t.role, len(t.text)) for t in r.turns] for r in chat.format_chats(turns).select("conv_id", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
     assert got == {None: [("", 0)], 5: [("assistant", 0), ("a\nb&#10;", 300_000), ("a\nb&#10;", 300_000)]}
     assert chat.format_chats(turns.limit(0)).count() == 0
+    clash = turns.where("conv_id IS NULL").union(turns.where("conv_id IS NULL")).select("*", *(F.lit(1).alias(c) for c in ("own", "body", "head", "h", "b", "start", "formatted", "n_turns")))
+    assert [(r.conv_id, r.n_turns) for r in chat.format_chats(clash).collect()] == [(None, 1)] * 2
 
 
 # ---- 7
@@ -361,6 +417,62 @@ def test_language_models(spark, small, documents, odd, nothing):
     assert langid.fit(nothing) is None and {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def plain_kneser_ney(texts):
+    """text list -> function of a word: its log probability, by the published recursion over dictionaries."""
+    raw = {}
+    for gram in (g for t in texts for g in langid.grams(t)):
+        raw.setdefault(len(gram), {}).setdefault(gram, 0)
+        raw[len(gram)][gram] += 1
+    counts = {langid.ORDER: dict(raw.get(langid.ORDER, {}))}
+    for n in range(langid.ORDER - 1, 0, -1):
+        counts[n] = dict(raw.get(n, {}))  # grams at a word's start, which nothing precedes
+        before = {}
+        for gram in counts[n + 1]:
+            if not gram[1:].startswith(langid.START):
+                before.setdefault(gram[1:], set()).add(gram[0])
+        for gram, kinds in before.items():
+            counts[n][gram] = counts[n].get(gram, 0) + len(kinds)
+
+    def probability(gram, floor):
+        n = len(gram)
+        if n == 0:
+            return floor
+        lower = probability(gram[1:], floor)
+        own = counts[n]
+        ones, twos = (sum(c == k for c in own.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = {g: c for g, c in own.items() if g[:-1] == gram[:-1]}
+        if not same:
+            return lower
+        return max(own.get(gram, 0) - d, 0) / sum(same.values()) + d * len(same) / sum(same.values()) * lower
+
+    def word(w, floor):
+        marked = langid.START + w + langid.END
+        return sum(np.log(max(probability(marked[max(0, i - langid.ORDER + 1) : i + 1], floor), 1e-12)) for i in range(1, len(marked)))
+
+    return word
+
+
+def test_language_models_against_plain_kneser_ney():
+    texts = {"en": ["the cat sat on that mat", "then the hat"], "de": ["der hund und die katze", "dann der hut und das haus"]}
+    counts = {lang: {} for lang in texts}
+    for lang, own in texts.items():
+        for gram in (g for t in own for g in langid.grams(t)):
+            counts[lang][gram] = counts[lang].get(gram, 0) + 1
+    models = langid.Models(counts)
+    words = ["the", "hund", "mat", "xyz", "a", "dasselbe", "hat"]
+    got = models.word_scores(words)
+    for column, lang in enumerate(models.langs):
+        plain = plain_kneser_ney(texts[lang])
+        assert got[:, column] == pytest.approx([plain(w, models.floor) for w in words])
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    models = langid.fit(spark.createDataFrame([("same words here", "b"), ("same words here", "a")], "text string, lang string"))
+    row = langid.identify(spark.createDataFrame([("same words",)], "text string"), models).first()
+    assert row.lang_pred == "a" and row.score == pytest.approx(0.5)
+
+
 def test_language_probabilities_sum_to_one():
     counts = {"a": {}, "b": {}}
     for lang, text in (("a", "abab abba baab abc"), ("b", "ccac cab")):
@@ -461,12 +573,18 @@ def test_pipeline_against_brute_force(spark, small, duck, documents, library):
 
 
 def test_pipeline_of_odd_input(spark, odd, nothing, library, tmp_path):
-    """Of nulls, empty texts, white space, short ones and twice the same long one the rules and the grouping leave one row."""
-    long = odd.where("doc_id = 3").first().text
-    for name, rows in (("odd", odd), ("none", nothing)):
-        rows.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / name / "documents.parquet"))
+    """Nulls, empty texts and white space go by the rules; of equal rows and of copies one stays; a null doc_id stays; a null source is mixed."""
+    long = " ".join(f"the word{i} of" for i in range(20_000))
+    prose = [f"We {w} the old road to the north and saw that no one was at home, so we sat by the river and waited for the {w} rain to end." for w in ("took", "missed")]
+    rows = [(1, None, "en", "s"), (2, "", None, "s"), (3, long, "en", "s"), (3, long, "en", "s"), (None, prose[0], None, "s"), (None, None, "en", None), (7, "\n \t", "en", "s"), (8, prose[1] + " a@b.co", "en", None), (9, prose[1] + " a@b.co", "en", "s")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*r, None) for r in rows], columns).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    spark.createDataFrame([], columns).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
-    assert {r.doc_id for r in got} == {3} and len(got) == 1
-    assert np.frombuffer(got[0].ids, "<u4").tolist() == library.encode_ordinary(long)
-    assert got[0].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    count = {i: sum(r.doc_id == i for r in got) for i in (3, 8, None)}
+    assert (count[3], count[8]) == (1, 3) and count[None] <= 1 and len(got) == sum(count.values())
+    for i, text in ((3, long), (8, prose[1] + " [EMAIL]")):
+        row = next(r for r in got if r.doc_id == i)
+        assert np.frombuffer(row.ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -12,7 +12,8 @@
    in carry-save counters, 64 lanes a word. Words all of whose lanes are past the radius
    are abandoned. Only a spanning forest of the links leaves a block, never all pairs.
 5. Connected components by alternating large and small stars, each round a table in the
-   shared folder.
+   shared folder. Keys with very many rows (the fingerprint of empty texts, the centre of
+   a large component) are met where their rows lie and not dealt to one task.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other; a
 document within reach of no other is a component of itself; component_id is the least
@@ -40,6 +41,10 @@ SEED = 42
 BLOCK = 2048
 #: More blocks of bits once buckets would hold more than this many fingerprints on average.
 CROWD = 2048
+#: A key with more than 1 / HOT of the rows, and HOT at least, is hot; hot keys are broadcast, fewer than HOT of them.
+HOT = 10_000
+#: Ids that keep_first() broadcasts at most: some 30 MB.
+GONE = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -240,18 +245,33 @@ def links(unique: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFr
 # ---- connected components
 
 
+def join_hot(rows: DataFrame, small: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """rows joined with small (one row a key). The keys of hot, few by their definition, are met where their rows lie."""
+    if hot is None:
+        return rows.join(small, key)
+    own = small.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(own), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(small, key))
+
+
+def hot_keys(counts: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """The keys of counts (key, n) with more than rows / HOT rows, of which there are fewer than HOT; None without any."""
+    hot = counts.where(F.col("n") > max(rows // HOT, HOT)).select(key)
+    return None if hot.isEmpty() else materialize(hot, "hot-keys")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u, v (links) -> u, root: each node that has a link, with the least node in reach; roots too."""
     star = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(star)
     while mark[0]:
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_hot(both, least.drop("n"), "u", hot_keys(least, "u", 2 * mark[0])).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))  # a node has one link a block and table it stood in
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(small.union(lower.select("u", F.col("m").alias("v"))).distinct(), "links")
         drop(star)
+        drop(least)
         star, last, mark = new, mark, _mark(new)
         if mark == last:
             break
@@ -265,26 +285,35 @@ def _mark(star: DataFrame) -> tuple:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed) and component_id of each row of docs."""
     marked = materialize(fingerprints(docs, text, doc_id), "fingerprints")
-    unique = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "unique")
+    unique = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "unique")
+    rows = unique.agg(F.sum("n")).first()[0] or 0
     roots = components(links(unique.select("fp"), radius))
     linked = materialize(roots.join(unique, roots["u"] == unique["fp"]).select("fp", "root", "first"), "linked")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    least = materialize(least, "roots")
+    named = join_hot(linked, least.drop("n"), "root", hot_keys(least, "root", rows)).select("fp", "component_id")
     known = unique.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(marked, known, "fp", hot_keys(unique, "fp", rows)).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """One row of docs for each component: that of its least doc_id; rows without a doc_id all stay.
 
-    Of several rows with that doc_id the least as a struct of the other columns stays.
+    Of several rows with that doc_id the least as a struct of the other columns stays. The
+    ids that go, and those of several rows, are broadcast up to GONE of them, so that the
+    texts that stay are read and not dealt out; beyond, texts and ids meet in a shuffle.
     """
-    found = near_duplicates(docs.select(text, doc_id), text, doc_id, radius)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__first")
+    found = near_duplicates(docs.select(text, doc_id), text, doc_id, radius).where("doc_id IS NOT NULL")
+    each = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
+    odd = materialize(each.where("NOT first OR n > 1").select(F.col("doc_id").alias("__id"), "first"), "not-kept-as-they-are")
+    few = F.broadcast if odd.count() <= GONE else lambda df: df
+    kept = docs.join(few(odd.select("__id")), docs[doc_id] == F.col("__id"), "left_anti")
+    several = odd.where("first").select("__id")
+    if several.isEmpty():
+        return kept
     rest = [c for c in docs.columns if c != doc_id]
-    first = docs.join(chosen, docs[doc_id] == chosen["__first"], "left_semi").groupBy(doc_id).agg(F.min(F.struct(*rest)).alias("__row"))
-    kept = first.select(*(F.col(c) if c == doc_id else F.col("__row")[c].alias(c) for c in docs.columns))
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    one = docs.join(few(several), docs[doc_id] == F.col("__id"), "left_semi").groupBy(doc_id).agg(F.min(F.struct(*rest)).alias("__row"))
+    return kept.unionByName(one.select(*(F.col(c) if c == doc_id else F.col("__row")[c].alias(c) for c in docs.columns)))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
