@@ -11,9 +11,10 @@ control string (all of which begin with < or [), and unescaping gives the text
 back exactly. The loss mask covers the bodies of assistant turns, no markers.
 
 Defined results: a null text or role counts as empty; null or empty parts give an
-empty body; an unknown type is an error; turns are ordered by turn, role, text,
-nulls first, so ties and repeated rows keep one order; rows of a null conversation
-form one conversation; an empty table gives an empty table; other columns are not
+empty body; a part of an unknown or null type is an attachment with the placeholder
+`part` and the tokens that it gives, 0 if none; turns are ordered by turn, role, text,
+nulls first, so ties and repeated rows keep one order; each row of a null conversation
+is a conversation of its own, since nothing says that two belong together; an empty table gives an empty table; other columns are not
 read. A conversation is one string in the result, so it must fit in memory; all
 work on its turns is done before they are put together.
 """
@@ -45,12 +46,16 @@ def unescape(text: Column, pairs=ROLE_ESCAPES) -> Column:
     return text
 
 
+def _is_text(part: Column) -> Column:
+    return F.coalesce(part["type"] == "text", F.lit(False))
+
+
 def _visit(part: Column, place: Column) -> Column:
     """The flattened form of one part; place numbers the attachments of its turn from 1."""
-    visited = F.when(part["type"] == "text", escape(F.coalesce(part["text"], F.lit(""))))
+    visited = F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit(""))))
     for kind in EXPANDS_TO:
         visited = visited.when(part["type"] == kind, F.concat(F.lit(f"<|{kind}_"), place.cast("string"), F.lit("|>")))
-    return visited.otherwise(F.raise_error(F.concat(F.lit("unknown part type: "), F.coalesce(part["type"], F.lit("null")))).cast("string"))
+    return visited.otherwise(F.concat(F.lit("<|part_"), place.cast("string"), F.lit("|>")))
 
 
 def _expanded(part: Column) -> Column:
@@ -67,17 +72,18 @@ def text_part(text: Column) -> Column:
 
 def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """conv_id, formatted, loss_spans, attachments (turn, place, type, ref, tokens), expanded_tokens and n_turns."""
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"))
-    placed = rows.withColumn("body", F.array_join(F.transform("parts", lambda p, i: _visit(p, F.size(F.filter(F.slice("parts", 1, i + 1), lambda q: q["type"] != "text")))), ""))
-    attached = F.filter("parts", lambda p: p["type"] != "text")
+    own = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id()).alias("own")
+    rows = turns.select(F.col(conv_id).alias("conv_id"), own, F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"))
+    placed = rows.withColumn("body", F.array_join(F.transform("parts", lambda p, i: _visit(p, F.size(F.filter(F.slice("parts", 1, i + 1), lambda q: ~_is_text(q))))), ""))
+    attached = F.filter("parts", lambda p: ~_is_text(p))
     placed = placed.withColumn("attached", F.transform(attached, lambda p, i: F.struct(F.col("turn").alias("turn"), (i + 1).alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens"))))
     head = F.concat(F.lit(TURN), escape(F.col("role"), ROLE_ESCAPES), F.lit("\n"))
-    pieces = placed.select("conv_id", "turn", "role", "body", "attached", head.alias("head"), F.length(head).cast("long").alias("h"), F.length("body").cast("long").alias("b"))
-    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = placed.select("conv_id", "own", "turn", "role", "body", "attached", head.alias("head"), F.length(head).cast("long").alias("h"), F.length("body").cast("long").alias("b"))
+    so_far = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("start", F.coalesce(F.sum(F.col("h") + F.col("b") + len(END)).over(so_far), F.lit(0)) + F.col("h"))
     pile = F.sort_array(F.collect_list(F.struct("start", "turn", "role", F.concat("head", "body", F.lit(END)).alias("piece"), "b", "attached"))).alias("t")
     return (
-        pieces.groupBy("conv_id").agg(pile)
+        pieces.groupBy("conv_id", "own").agg(pile)
         .select(
             "conv_id",
             F.array_join(F.col("t.piece"), "").alias("formatted"),
@@ -136,10 +142,11 @@ def _lit(x: str) -> str:
 
 OP6_SQL = f"""WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}')
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'),
+  o AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM c)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(TURN) + 1 + len(END)} + {_sql_escaped('role', ROLE_ESCAPES)} + {_sql_escaped('text', ESCAPES)}) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id"""
+FROM o GROUP BY conv_id, own"""
