@@ -197,8 +197,10 @@ def fit(rows: DataFrame, sample_chars: int = SAMPLE_CHARS, seed: int = SEED) ->
 
 
 def _calibrate(models: Models, held: DataFrame) -> None:
+    shared = held.sparkSession.sparkContext.broadcast(models)
+
     def score(batches):
-        scorer = Scorer(models)
+        scorer = Scorer(shared.value)
         for batch in batches:
             found = [(lang, *scorer(text)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             found = [x for x in found if x[1] is not None]
