@@ -29,7 +29,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +80,12 @@ def targets(sources: DataFrame, epochs: int = EPOCHS, weights: tuple[int, ...] =
     )
 
 
+#: Of one range, in order: the words left behind it, and how many rows of each key come once more while each brings the sum no further away.
+WALK = """aggregate(rows, struct(before AS left, CAST(array() AS ARRAY<STRUCT<key:STRING,n:BIGINT>>) AS taken), (a, r) ->
+  aggregate(array(CASE WHEN r.size <= 2 * a.left THEN least(r.n, (2 * a.left - r.size) div (2 * r.size) + 1) ELSE 0L END), a, (b, more) ->
+    CASE WHEN more > 0 THEN struct(b.left - more * r.size AS left, concat(b.taken, array(struct(r.key AS key, more AS n))) AS taken) ELSE b END))"""
+
+
 class Plan:
     """What a mix takes: the targets of the sources and which rows of the seeded order come once more."""
 
@@ -121,14 +126,15 @@ class Plan:
             edge = edge.select(F.col("o_source").alias("e_source"), F.col("e.range").alias("e_range"), F.col("e.before").alias("before"))
             rows = ranged.join(self._small(edge), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("range") == F.col("e_range")))
             groups = rows.groupBy("e_source", "e_range", "before", "key", "size").agg(F.count("*").alias("n"))
-            walks = groups.groupBy("e_source", "e_range").applyInPandas(_walk, f"e_source {kind}, e_range string, left long, keys array<string>, taken array<long>")
+            piles = groups.groupBy("e_source", "e_range", "before").agg(F.sort_array(F.collect_list(F.struct("key", "size", "n"))).alias("rows"))
+            walks = piles.select("e_source", "e_range", F.expr(WALK).alias("w")).select("e_source", "e_range", "w.left", "w.taken")
             walks = materialize(walks, "mix-walks")
             at = {r.e_source: r for r in walks.select("e_source", "e_range", "left").collect()}
             spans += [(s, after, at[s].e_range if s in at else "~", 2 * left) for s, after, left in open_]
             walked.append(walks)
             open_ = [(s, r.e_range, r.left) for s, r in at.items() if r.left > 0]
         self.spans = self.spark.createDataFrame(spans, f"p_source {kind}, after string, until string, most long")
-        nothing = self.spark.createDataFrame([], f"e_source {kind}, e_range string, left long, keys array<string>, taken array<long>")
+        nothing = self.spark.createDataFrame([], f"e_source {kind}, e_range string, left long, taken array<struct<key:string,n:long>>")
         self.walks = reduce(DataFrame.unionAll, walked, nothing)
 
     def applied(self, rows: DataFrame) -> DataFrame:
@@ -139,8 +145,8 @@ class Plan:
         inside = (F.col("range") > F.col("after")) & (F.col("range") < F.col("until"))
         outer = marked.where("edge IS NULL").join(self._small(self.spans), F.col("source").eqNullSafe(F.col("p_source")) & inside, "left")
         outer = outer.withColumn("more", F.coalesce((F.col("size") > 0) & (F.col("size") <= F.col("most")), F.lit(False)).cast("long"))
-        taken = self.walks.select(F.col("e_source").alias("t_source"), F.explode(F.arrays_zip("keys", "taken")).alias("t"))
-        taken = taken.select("t_source", F.col("t.keys").alias("t_key"), F.col("t.taken").alias("t_taken"))
+        taken = self.walks.select(F.col("e_source").alias("t_source"), F.explode("taken").alias("t"))
+        taken = taken.select("t_source", F.col("t.key").alias("t_key"), F.col("t.n").alias("t_taken"))
         edge = marked.where("edge").withColumn("nth", F.row_number().over(Window.partitionBy("source", "key").orderBy(F.lit(1))))
         edge = edge.join(taken, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("key") == F.col("t_key")), "left")
         edge = edge.withColumn("more", (F.col("nth") <= F.coalesce("t_taken", F.lit(0))).cast("long"))
@@ -150,19 +156,6 @@ class Plan:
         return placed.withColumn("copies", F.col("reps") + F.col("more"))
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one range, in order: how many rows of each key come once more while each brings the sum no further away."""
-    rows = rows.sort_values("key")
-    left, keys, taken = int(rows["before"].iloc[0]), [], []
-    for key, size, n in zip(rows["key"], rows["size"].tolist(), rows["n"].tolist(), strict=True):
-        more = min(n, (2 * left - size) // (2 * size) + 1) if size <= 2 * left else 0
-        if more:
-            keys.append(key)
-            taken.append(more)
-        left -= more * size
-    return pd.DataFrame({"e_source": rows["e_source"].iloc[:1], "e_range": rows["e_range"].iloc[:1], "left": [left], "keys": [keys], "taken": [taken]})
-
-
 def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of each row."""
     plan = Plan(docs, text, doc_id, source, seed, epochs)
