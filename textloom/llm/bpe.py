@@ -34,16 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
-from textloom.llm.tables import table
+from textloom.llm.tables import slices, table
 from textloom.session import ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Chunks that a worker remembers in each of two halves; the older half goes when the newer is full.
-REMEMBER = 250_000
+REMEMBER = 150_000
 #: Longer chunks are encoded but not remembered.
 LONGEST = 64
 #: Characters that are encoded together.
-SLICE = 4_000_000
+SLICE = 500_000
 _odd_space = re.compile(r"\s ").search
 
 
@@ -184,18 +184,6 @@ class Shared:
         return _codecs[self.key]
 
 
-def _slices(sizes: list[int]):
-    """Ranges of rows of about SLICE characters, one row at least."""
-    start, room = 0, 0
-    for at, size in enumerate(sizes):
-        if at > start and room + size > SLICE:
-            yield start, at
-            start, room = at, 0
-        room += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, decoded: bool = False, offsets: bool = False) -> DataFrame:
     """All columns of docs but the text, n_tokens, ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded (bytes) and offsets."""
     ship(docs.sparkSession)
@@ -211,7 +199,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, decoded
     def run(batches):
         own_codec = shared.codec()
         for whole in batches:
-            for start, end in _slices(pc.utf8_length(whole.column(whole.num_columns - 1)).to_pylist()):
+            for start, end in slices(pc.utf8_length(whole.column(whole.num_columns - 1)).to_pylist(), SLICE):
                 batch = whole.slice(start, end - start)
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 ids = own_codec.encode(texts)

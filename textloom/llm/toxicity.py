@@ -27,12 +27,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.hashing import code_points, hashes
-from textloom.llm.tables import table
+from textloom.llm.tables import slices, table
 from textloom.scratch import materialize
 from textloom.session import ship
 
@@ -54,6 +55,8 @@ SEED = 42
 THRESHOLD = 0.7
 MARKS = ".,;:!?…\"'`´«»()[]{}<>#*$%&|_-–—~^=+/\\"
 REMEMBER = 300_000
+#: Characters whose windows are held together.
+SLICE = 500_000
 
 
 def normal(word: str) -> str:
@@ -442,8 +445,8 @@ def score(docs: DataFrame, network: Network | None, text: str = "text") -> DataF
     def run(batches):
         lexicon = Lexicon(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                batch = whole.slice(at, 100)
+            for start, end in slices(pc.utf8_length(whole.column(whole.num_columns - 1)).to_pylist(), SLICE):
+                batch = whole.slice(start, end - start)
                 if len(lexicon.rows) > lexicon.remember:
                     lexicon.clear()
                 places = lexicon.places(batch.column(batch.num_columns - 1).to_pylist())
