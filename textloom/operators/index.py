@@ -83,9 +83,9 @@ def named(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(names.select("doc_id", "doc_name"), "doc_id").drop("doc_id")
 
 
-def norms(postings: DataFrame, n_docs: Column | int) -> DataFrame:
+def norms(postings: DataFrame, n_docs: Column | int, vocabulary: DataFrame | None = None) -> DataFrame:
     """doc_id and the Euclidean norm of (1 + log2 tf) * log2(N / df)."""
-    vocab = postings.groupBy("term").agg(F.count("*").alias("df"))
+    vocab = postings.groupBy("term").agg(F.count("*").alias("df")) if vocabulary is None else vocabulary.select("term", "df")
     w = (1 + text.log2(F.col("tf"))) * text.log2(n_docs / F.col("df"))
     return postings.join(vocab, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 

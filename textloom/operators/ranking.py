@@ -15,12 +15,12 @@ def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     return postings(found, "qid").withColumnRenamed("tf", "qtf")
 
 
-def matched(index: DataFrame, asked: DataFrame, docs: DataFrame) -> DataFrame:
+def matched(index: DataFrame, asked: DataFrame, docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Each posting of a query term with qtf, df, cf, dl and the one-row statistics n_docs, c (tokens) and avdl.
 
     Document lengths are those of the index. Terms without postings fall away.
     """
-    vocab = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    vocab = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")) if vocabulary is None else vocabulary
     length = index.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     whole = docs.agg(F.count("*").alias("n_docs")).crossJoin(length.agg(F.sum("dl").alias("c"), F.avg("dl").alias("avdl")))
     return index.join(asked, "term").join(vocab, "term").join(length, "doc_id").crossJoin(F.broadcast(whole))  # one row
@@ -56,9 +56,9 @@ def vector(df_only: bool = True) -> Column:
     return (1 + F.log10("tf")) * F.log10(F.col("df") if df_only else F.col("n_docs") / F.col("df")) * F.col("qtf")
 
 
-def cosine(matched: DataFrame, doc_norms: DataFrame, asked: DataFrame, index: DataFrame, docs: DataFrame) -> DataFrame:
+def cosine(matched: DataFrame, doc_norms: DataFrame, asked: DataFrame, vocabulary: DataFrame, docs: DataFrame) -> DataFrame:
     """Cosine of query and document; terms that all documents hold are skipped."""
-    vocab = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
+    vocab = vocabulary.select("term", "df").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
     w = _tf("qtf") * idf()
     query_norms = asked.join(vocab, "term").where("df < n_docs").groupBy("qid").agg(F.sqrt(F.sum(w * w)).alias("q_norm"))
     dots = ranking(matched, _tf() * idf() * w, where=F.col("df") < F.col("n_docs"))

@@ -55,6 +55,12 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.index(docs(spark, sf_dir)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
+@shared("vocabulary")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, df and cf of the index, sorted by term."""
+    return ix.vocabulary(index(spark, sf_dir)).repartitionByRange("term").sortWithinPartitions("term")
+
+
 @shared("ascii")
 def ascii_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.postings(ix.tokens(docs(spark, sf_dir), text.ASCII))
@@ -72,12 +78,12 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared("matched")
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.matched(index(spark, sf_dir), asked(spark, sf_dir), docs(spark, sf_dir))
+    return rk.matched(index(spark, sf_dir), asked(spark, sf_dir), docs(spark, sf_dir), vocabulary(spark, sf_dir))
 
 
 @shared("norms")
 def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.norms(index(spark, sf_dir), docs(spark, sf_dir).count())
+    return ix.norms(index(spark, sf_dir), docs(spark, sf_dir).count(), vocabulary(spark, sf_dir))
 
 
 #: A passage's candidates share its run of words from the second on, of so many words; passages up to FEW are broadcast.

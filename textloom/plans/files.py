@@ -9,7 +9,7 @@ from textloom.functions import stopwords, text
 from textloom.operators import index as ix
 from textloom.operators import stats
 from textloom.plans import corpus, retrieval
-from textloom.plans.base import ASCII_SQL, INDEX_SQL, QRELS_SQL, QUERIES, TOPICS_SQL, ascii_postings, asked, docs, index, qrels, query, topics
+from textloom.plans.base import ASCII_SQL, INDEX_SQL, QRELS_SQL, QUERIES, TOPICS_SQL, ascii_postings, asked, docs, index, qrels, query, topics, vocabulary
 from textloom.scratch import folder
 from textloom.sources import readers, sinks
 from textloom.sources.readers import table
@@ -169,7 +169,7 @@ def ranking_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT min(n_terms) AS least_terms, max(n_terms) AS most_terms, min(n_postings) AS least_postings, max(n_postings) AS most_postings FROM q""")
 def query_length_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least and most known terms of a query, and postings that it reads."""
-    each = asked(spark, sf_dir).join(ix.vocabulary(index(spark, sf_dir)), "term").groupBy("qid").agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    each = asked(spark, sf_dir).join(vocabulary(spark, sf_dir), "term").groupBy("qid").agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
     return each.agg(*(f(f"n_{c}").alias(f"{name}_{c}") for c in ("terms", "postings") for name, f in (("least", F.min), ("most", F.max))))
 
 

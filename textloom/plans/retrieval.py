@@ -14,7 +14,7 @@ from textloom.operators import boolean, evaluation
 from textloom.operators import index as ix
 from textloom.operators import ranking as rk
 from textloom.operators.stats import histogram
-from textloom.plans.base import INDEX_SQL, KEEP_SQL, MATCHED_SQL, QRELS_SQL, TOPICS_SQL, asked, docs, index, log2_sql, matched, norms, qrels, query, shared, topics
+from textloom.plans.base import INDEX_SQL, KEEP_SQL, MATCHED_SQL, QRELS_SQL, TOPICS_SQL, asked, docs, index, log2_sql, matched, norms, qrels, query, shared, topics, vocabulary
 from textloom.scratch import materialize
 from textloom.sources import readers
 
@@ -64,7 +64,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INDEX_SQL}, {TOPICS_SQL} SELECT qid, term, df FROM qt JOIN voc USING (term)")
 def query_terms_in_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir).join(ix.vocabulary(index(spark, sf_dir)), "term").select("qid", "term", "df")
+    return asked(spark, sf_dir).join(vocabulary(spark, sf_dir), "term").select("qid", "term", "df")
 
 
 # ---- ranked retrieval
@@ -110,7 +110,7 @@ def run_of(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
         with_length = rows.join(_query_length(spark, sf_dir), "qid")
         run = rk.ranking(with_length, rk.dirichlet(), rk.dirichlet_length(F.col("q_len")))
     elif name == "rank_daat_cosine":
-        run = rk.cosine(rows, norms(spark, sf_dir), asked(spark, sf_dir), index(spark, sf_dir), docs(spark, sf_dir))
+        run = rk.cosine(rows, norms(spark, sf_dir), asked(spark, sf_dir), vocabulary(spark, sf_dir), docs(spark, sf_dir))
     else:
         weight, _, where = MODELS[name]
         run = rk.ranking(rows, weight(), where=F.expr(where) if where else None)
@@ -186,7 +186,7 @@ def query_log_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = readers.table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))
     terms = rk.query_terms(log)
     few = terms.groupBy("qid").agg(F.count("*").alias("n_terms")).where(F.col("n_terms").isin(2, 3))
-    known = terms.join(few, "qid").join(ix.vocabulary(index(spark, sf_dir)).select("term", "df"), "term", "left")
+    known = terms.join(few, "qid").join(vocabulary(spark, sf_dir).select("term", "df"), "term", "left")
     lines = known.groupBy("qid", "n_terms").agg(F.count("df").alias("n_known"), F.array_join(F.sort_array(F.collect_list("term")), " ").alias("terms"))
     return lines.where(F.col("n_known") == F.col("n_terms")).select(F.col("qid").alias("turn_id"), "n_terms", "terms")
 
@@ -302,8 +302,7 @@ def compressed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INDEX_SQL} SELECT term, doc_id, tf, df FROM post JOIN voc USING (term)")
 def decompressed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = _vocabulary(spark, sf_dir)
-    return ix.decompress(vocabulary.join(_codes(spark, sf_dir), ["docs_at", "freqs_at"]))
+    return ix.decompress(_vocabulary(spark, sf_dir).join(_codes(spark, sf_dir), ["docs_at", "freqs_at"]))
 
 
 @query(f"WITH {INDEX_SQL} SELECT term, doc_id, tf FROM post")
