@@ -81,7 +81,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         places = np.flatnonzero(scores >= least)
     else:
         places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))][:k]
+    return places[np.lexsort((ids[places], ~scores[places]))][:k]  # ~x falls as x grows, and unlike -x never overflows
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
