@@ -49,6 +49,17 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+_unique: dict[tuple, bool] = {}
+
+
+def unique_ids(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether no two documents have the same id, so that what belongs to a document can be worked out within its row."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _unique:
+        _unique[key] = docs(spark, sf_dir).groupBy("doc_id").count().where("count > 1").isEmpty()
+    return _unique[key]
+
+
 @shared("index")
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, term, tf: sorted by term, so that row groups are skipped when a few terms are asked for."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import stemmers, stopwords, text
 from textloom.operators import index as ix
 from textloom.operators import profiles, stats
-from textloom.plans.base import ASCII_SQL, INDEX_SQL, ascii_postings, docs, index, query, tokens_sql, shared
+from textloom.plans.base import ASCII_SQL, INDEX_SQL, ascii_postings, docs, index, query, tokens_sql, shared, unique_ids
 from textloom.scratch import materialize
 from textloom.sources.readers import table
 
@@ -247,19 +247,27 @@ _LANGID = f"""WITH {_profile_sql('doc_id', True, 'd')}, {_profile_sql('lang', Tr
   best AS (SELECT doc_id, lang AS pred, r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(r, 9) DESC NULLS LAST, lang) AS k FROM r) WHERE k = 1)"""
 
 
-@shared("profiles of documents")
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.profile(docs(spark, sf_dir), "doc_id")
+@shared("grams of documents")
+def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.grams(docs(spark, sf_dir), "doc_id", "lang")
 
 
 @shared("profiles of languages")
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.profile(docs(spark, sf_dir), "lang")
+    return profiles.profile_of(_grams(spark, sf_dir), "lang")
+
+
+#: Rows of the profiles of languages up to which they are broadcast.
+FEW_GRAMS = 1_000_000
 
 
 @shared("languages found")
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.best_language(profiles.correlations(_samples(spark, sf_dir), _languages(spark, sf_dir)))
+    counts, languages = _grams(spark, sf_dir), _languages(spark, sf_dir)
+    if unique_ids(spark, sf_dir) and languages.count() <= FEW_GRAMS:
+        return profiles.best_language(profiles.row_correlations(counts, languages))
+    samples = materialize(profiles.profile_of(counts, "doc_id"), "profiles")
+    return profiles.best_language(profiles.correlations(samples, languages))
 
 
 @query(f"{_LANGID} SELECT doc_id, pred, round(r, 6) AS r FROM best")
