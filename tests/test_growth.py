@@ -1,12 +1,15 @@
 """What was dealt out row by row and is now worked out where the rows lie: the same results, and plans without those exchanges."""
 
+import re
+
 import duckdb
 import pytest
 
 from helpers import rows_of
 from textloom.functions import text
-from textloom.operators import profiles
-from textloom.plans import base, corpus
+from textloom.operators import index as ix
+from textloom.operators import profiles, ranking
+from textloom.plans import base, corpus, files, retrieval  # noqa: F401  files registers its queries
 
 
 def plan(df):
@@ -15,8 +18,8 @@ def plan(df):
 
 @pytest.fixture
 def odd(spark, tmp_path):
-    """Documents with nulls, an empty text and one id twice."""
-    rows = [(1, "el gato come\ny el perro", "es"), (2, "the cat 😀 eats the cat the", "en"), (3, "", "en"), (4, None, "es"), (5, " ", None), (6, "x", "en"), (2, "the perro gato", "es"), (7, "perro " * 90, "es"), (None, "gato eats", "en")]
+    """Documents with null and empty texts, a null language and one id twice."""
+    rows = [(1, "el gato come\ny el perro", "es"), (2, "the cat 😀 eats the cat the", "en"), (3, "", "en"), (4, None, "es"), (5, " ", None), (6, "x", "en"), (2, "the perro gato", "es"), (7, "perro " * 90, "es")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(rows[:6] + rows[7:8], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "unique" / "documents.parquet"))
     return str(tmp_path)
@@ -45,3 +48,14 @@ def test_languages_are_found_within_the_rows(spark, odd):
     assert "hashpartitioning(gram" not in plan(found) and "Window" not in plan(found)
     slow = profiles.correlations(profiles.profile_of(counts, "doc_id"), languages)
     assert rows_of(found.collect(), ["doc_id", "lang", "r"]) == rows_of(slow.collect(), ["doc_id", "lang", "r"])
+
+
+INDEXED = ("postings_intersect", "bool_and3_sets", "bool_nested_sets", "skip_list_entries", "file_json_index", "doc_norms", "decompressed_index", "compressed_index")
+
+
+def test_index_is_counted_within_the_rows(spark, odd):
+    for folder in (odd, f"{odd}/unique"):
+        agrees(spark, folder, "codec_roundtrip", *INDEXED)
+    rows = ix.row_index(base.docs(spark, f"{odd}/unique"))
+    assert "Exchange" not in plan(rows)
+    assert {(r.doc_id, r.term, r.tf, r.dl) for r in rows.collect() if r.doc_id == 1} == {(1, "gato", 1, 3), (1, "come", 1, 3), (1, "perro", 1, 3)}

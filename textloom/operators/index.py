@@ -30,6 +30,16 @@ def index(docs: DataFrame, column: str = "text") -> DataFrame:
     return postings(keep_terms(tokens(docs, column=column)))
 
 
+def row_index(docs: DataFrame, column: str = "text") -> DataFrame:
+    """index() of documents with ids of their own, and dl (the document's kept tokens): terms are counted within the row, so nothing is dealt out.
+
+    The outer explode: for the plain one Spark adds a filter that works out the array once more.
+    """
+    kept = F.filter(text.tokens(F.col(column), text.SPANISH), lambda t: (F.length(t) > 3) & (F.length(t) <= 3000) & ~t.isin(*stopwords.ENGLISH))
+    rows = docs.select("doc_id", kept.alias("w")).select("doc_id", F.size("w").cast("long").alias("dl"), text.counted(F.col("w")).alias("c"))
+    return rows.select("doc_id", "dl", F.explode_outer("c").alias("c")).where("c IS NOT NULL").select("doc_id", F.col("c.item").alias("term"), F.col("c.n").alias("tf"), "dl")
+
+
 def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import stopwords, text
@@ -61,9 +61,21 @@ def unique_ids(spark: SparkSession, sf_dir: str) -> bool:
 
 
 @shared("index")
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, term, tf and dl: each file is sorted by term, so that its pages are skipped when a few terms are asked for.
+
+    Where no two documents share an id, the postings are sorted where the documents are read and never dealt out.
+    """
+    if unique_ids(spark, sf_dir):
+        return ix.row_index(docs(spark, sf_dir)).sortWithinPartitions("term", "doc_id")
+    rows = ix.index(docs(spark, sf_dir))
+    rows = rows.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
+    return rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, term, tf: sorted by term, so that row groups are skipped when a few terms are asked for."""
-    return ix.index(docs(spark, sf_dir)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    """doc_id, term and tf."""
+    return _postings(spark, sf_dir).select("doc_id", "term", "tf")
 
 
 @shared("vocabulary")
