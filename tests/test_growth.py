@@ -59,3 +59,19 @@ def test_index_is_counted_within_the_rows(spark, odd):
     rows = ix.row_index(base.docs(spark, f"{odd}/unique"))
     assert "Exchange" not in plan(rows)
     assert {(r.doc_id, r.term, r.tf, r.dl) for r in rows.collect() if r.doc_id == 1} == {(1, "gato", 1, 3), (1, "come", 1, 3), (1, "perro", 1, 3)}
+
+
+def _topics(spark, odd):
+    items = [(1, "the gato come perro"), (2, "cat eats perro perro"), (3, "absent"), (4, None)]
+    for folder in (odd, f"{odd}/unique"):
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_matches_are_met_where_postings_lie(spark, odd):
+    _topics(spark, odd)
+    one = f"{odd}/unique"
+    found = ranking.matched(base._postings(spark, one), base.asked(spark, one), base.docs(spark, one), base.vocabulary(spark, one))
+    assert "SortMergeJoin" not in plan(found) and "hashpartitioning(term" not in plan(found)
+    slow = ranking.matched(base.index(spark, one), base.asked(spark, one), base.docs(spark, one))
+    columns = ["qid", "doc_id", "term", "tf", "qtf", "df", "cf", "dl", "n_docs", "c", "avdl"]
+    assert rows_of(found.collect(), columns) == rows_of(slow.collect(), columns)

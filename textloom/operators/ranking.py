@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import log2
 from textloom.operators.index import keep_terms, postings, tokens
+from textloom.scratch import materialize
 
 
 def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -15,15 +16,24 @@ def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     return postings(found, "qid").withColumnRenamed("tf", "qtf")
 
 
+#: Terms of all queries up to which they are broadcast.
+FEW = 200_000
+
+
 def matched(index: DataFrame, asked: DataFrame, docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Each posting of a query term with qtf, df, cf, dl and the one-row statistics n_docs, c (tokens) and avdl.
 
-    Document lengths are those of the index. Terms without postings fall away.
+    Document lengths are those of the index, taken from its column dl if it has one. Terms without postings fall away.
     """
     vocab = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")) if vocabulary is None else vocabulary
-    length = index.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    length = index.groupBy("doc_id").agg((F.max("dl") if "dl" in index.columns else F.sum("tf")).alias("dl"))
     whole = docs.agg(F.count("*").alias("n_docs")).crossJoin(length.agg(F.sum("dl").alias("c"), F.avg("dl").alias("avdl")))
-    return index.join(asked, "term").join(vocab, "term").join(length, "doc_id").crossJoin(F.broadcast(whole))  # one row
+    known = materialize(asked.join(vocab, "term"), "asked")
+    if known.count() <= FEW:  # a broadcast, so that frequent terms are met where their postings lie
+        known = F.broadcast(known)
+    found = index.join(known, "term")
+    found = found if "dl" in index.columns else found.join(length, "doc_id")
+    return found.where("doc_id IS NOT NULL").crossJoin(F.broadcast(whole))  # one row
 
 
 def ranking(matched: DataFrame, weight: Column, plus: Column | None = None, where: Column | None = None) -> DataFrame:

@@ -101,7 +101,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared("matched")
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.matched(index(spark, sf_dir), asked(spark, sf_dir), docs(spark, sf_dir), vocabulary(spark, sf_dir))
+    return rk.matched(_postings(spark, sf_dir), asked(spark, sf_dir), docs(spark, sf_dir), vocabulary(spark, sf_dir))
 
 
 @shared("norms")
