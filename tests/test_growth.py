@@ -75,3 +75,11 @@ def test_matches_are_met_where_postings_lie(spark, odd):
     slow = ranking.matched(base.index(spark, one), base.asked(spark, one), base.docs(spark, one))
     columns = ["qid", "doc_id", "term", "tf", "qtf", "df", "cf", "dl", "n_docs", "c", "avdl"]
     assert rows_of(found.collect(), columns) == rows_of(slow.collect(), columns)
+
+
+def test_systems_are_scored_in_one_pass(spark, odd):
+    _topics(spark, odd)
+    got = retrieval.runs(spark, odd).collect()
+    want = [(n, r.qid, r.doc_id, r.score, r.rank) for n in retrieval.SYSTEMS for r in ranking.top(retrieval.run_of(n, spark, odd), retrieval.DEPTH).collect()]
+    assert rows_of(got, ["system", "qid", "doc_id", "score", "rank"]) == sorted(want, key=repr) and want
+    assert len(re.findall(r"Exchange hashpartitioning\(qid#\d+L?, doc_id", plan(retrieval.scored(spark, odd, retrieval.SYSTEMS)))) == 1

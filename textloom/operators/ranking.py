@@ -97,7 +97,7 @@ def hiemstra(lam: float = 0.6) -> Column:
     return F.col("qtf") * log2(1 + lam * F.col("tf") * F.col("c") / ((1 - lam) * F.col("cf") * F.col("dl")))
 
 
-def top(run: DataFrame, k: int) -> DataFrame:
+def top(run: DataFrame, k: int, by: list[str] | str = "qid") -> DataFrame:
     """The k best of each query with their rank, ties to the smaller document."""
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "doc_id")
     return run.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

@@ -105,16 +105,22 @@ CTES = f"WITH {MATCHED_SQL}, {_NORMS}"
 
 def run_of(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, doc_id and score of a model; scores to six digits, so that equal ones tie."""
+    if name == "rank_daat_cosine":
+        run = rk.cosine(matched(spark, sf_dir), norms(spark, sf_dir), asked(spark, sf_dir), vocabulary(spark, sf_dir), docs(spark, sf_dir))
+        return run.select("qid", "doc_id", F.round("score", 6).alias("score"))
+    where = MODELS[name][2] if name in MODELS else None
+    return scored(spark, sf_dir, (name,), where).withColumnRenamed(name, "score")
+
+
+def scored(spark: SparkSession, sf_dir: str, names: tuple[str, ...], where: str | None = None) -> DataFrame:
+    """qid, doc_id and a column of each model's scores, in one pass over the matches."""
     rows = matched(spark, sf_dir)
-    if name == "rank_dirichlet":
-        with_length = rows.join(_query_length(spark, sf_dir), "qid")
-        run = rk.ranking(with_length, rk.dirichlet(), rk.dirichlet_length(F.col("q_len")))
-    elif name == "rank_daat_cosine":
-        run = rk.cosine(rows, norms(spark, sf_dir), asked(spark, sf_dir), vocabulary(spark, sf_dir), docs(spark, sf_dir))
-    else:
-        weight, _, where = MODELS[name]
-        run = rk.ranking(rows, weight(), where=F.expr(where) if where else None)
-    return run.select("qid", "doc_id", F.round("score", 6).alias("score"))
+    if "rank_dirichlet" in names:
+        length = _query_length(spark, sf_dir)
+        rows = rows.join(F.broadcast(length) if length.count() <= rk.FEW else length, "qid")
+    sums = [F.sum(rk.dirichlet()) + F.max(rk.dirichlet_length(F.col("q_len"))) if n == "rank_dirichlet" else F.sum(MODELS[n][0]()) for n in names]
+    rows = rows if where is None else rows.where(where)
+    return rows.groupBy("qid", "doc_id").agg(*(F.round(x, 6).alias(n) for n, x in zip(names, sums, strict=True)))
 
 
 def _ranked(name: str) -> None:
@@ -357,8 +363,9 @@ SYSTEMS = ("rank_bm25", "rank_tfidf", "rank_hiemstra", "rank_dirichlet")
 @shared("runs")
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system, qid, doc_id, score and rank of the first documents of each system."""
-    every = [rk.top(run_of(name, spark, sf_dir), DEPTH).select(F.lit(name).alias("system"), "qid", "doc_id", "score", "rank") for name in SYSTEMS]
-    return reduce(DataFrame.union, every)
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("system"), F.col(n).alias("score")) for n in SYSTEMS)))
+    rows = scored(spark, sf_dir, SYSTEMS).select("qid", "doc_id", each.alias("s")).select("s.system", "qid", "doc_id", "s.score")
+    return rk.top(rows, DEPTH, ["system", "qid"])
 
 
 _EVAL = f"""{CTES}, {QRELS_SQL}, {', '.join(_top_sql(RUN_SQL[s], DEPTH, f'run_{s}') for s in SYSTEMS)},
@@ -453,10 +460,8 @@ def _correlation_sql(k: int) -> str:
 @query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS top_k, * FROM ({_correlation_sql(k)})" for k in DEPTHS))
 def model_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spearman's rho and Kendall's tau-b of two models over the first 10, 25 and 50 documents of one; a query has no row for a depth that it does not reach."""
-    a, b = (run_of(x, spark, sf_dir) for x in ("rank_tfidf", "rank_bm25"))
-    by_a = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    both = a.join(b.withColumnRenamed("score", "other"), ["qid", "doc_id"])
-    deepest = materialize(both.withColumn("r", F.row_number().over(by_a)).where(F.col("r") <= max(DEPTHS)), "correlated")  # each depth is a prefix of it
+    both = scored(spark, sf_dir, ("rank_tfidf", "rank_bm25")).withColumnsRenamed({"rank_tfidf": "score", "rank_bm25": "other"})
+    deepest = materialize(rk.top(both, max(DEPTHS)), "correlated")  # each depth is a prefix of it
     a, b = deepest.select("qid", "doc_id", "score"), deepest.select("qid", "doc_id", F.col("other").alias("score"))
     each = [evaluation.correlation(a, b, k).withColumn("top_k", F.lit(k).cast("long")) for k in DEPTHS]
     rows = reduce(DataFrame.unionByName, each)
