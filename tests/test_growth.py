@@ -83,3 +83,15 @@ def test_systems_are_scored_in_one_pass(spark, odd):
     want = [(n, r.qid, r.doc_id, r.score, r.rank) for n in retrieval.SYSTEMS for r in ranking.top(retrieval.run_of(n, spark, odd), retrieval.DEPTH).collect()]
     assert rows_of(got, ["system", "qid", "doc_id", "score", "rank"]) == sorted(want, key=repr) and want
     assert len(re.findall(r"Exchange hashpartitioning\(qid#\d+L?, doc_id", plan(retrieval.scored(spark, odd, retrieval.SYSTEMS)))) == 1
+
+
+def test_pairs_of_lines_and_documents_are_not_dealt_out(spark, odd):
+    log = [(1, 0, "user", "gato perro"), (1, 1, "user", "come gato perro"), (2, 0, "user", "gato absent"), (3, 0, "user", "eats perro")]
+    spark.createDataFrame(log, "conv_id long, turn long, role string, text string").write.parquet(f"{odd}/conversations.parquet")
+    found = retrieval.query_log_boolean(spark, odd)
+    assert "hashpartitioning(n_terms" not in plan(found) and "SortMergeJoin" not in plan(found)
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{odd}/{t}.parquet/*.parquet')")
+    want = [tuple(r) for r in con.execute(f"SELECT {', '.join(found.columns)} FROM ({base.SQL['query_log_boolean']})").fetchall()]
+    assert rows_of(found.collect(), found.columns) == sorted(want, key=repr) and want
