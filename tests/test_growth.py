@@ -95,3 +95,12 @@ def test_pairs_of_lines_and_documents_are_not_dealt_out(spark, odd):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{odd}/{t}.parquet/*.parquet')")
     want = [tuple(r) for r in con.execute(f"SELECT {', '.join(found.columns)} FROM ({base.SQL['query_log_boolean']})").fetchall()]
     assert rows_of(found.collect(), found.columns) == sorted(want, key=repr) and want
+
+
+def test_codes_stay_while_their_bits_are_counted(spark, odd):
+    agrees(spark, odd, "compressed_vocabulary")
+    vocabulary, codes = ix.store_compressed(base.index(spark, odd))
+    assert rows_of(ix.decompress(vocabulary.join(codes, ["docs_at", "freqs_at"])).select("term", "doc_id", "tf").collect(), ["term", "doc_id", "tf"]) == rows_of(base.index(spark, odd).collect(), ["term", "doc_id", "tf"])
+    for path in vocabulary.inputFiles():  # no file of the ordered scan holds codes
+        if "/scan-" in path:
+            assert "docs" not in spark.read.parquet(path).columns

@@ -166,10 +166,11 @@ def store_compressed(postings: DataFrame, use_gaps: bool = True, span: int = SPA
 
     Vocabulary: term, part, df, previous, n, docs_at and freqs_at. Codes: docs_at, freqs_at, docs and freqs, in that order.
     """
-    placed = ordered_scan(compressed(postings, use_gaps, span), ["term", "part"], {"docs_at": "docs_bits", "freqs_at": "freqs_bits"})
-    placed = materialize(placed, "compressed")
+    lists = materialize(compressed(postings, use_gaps, span), "compressed")  # the codes stay there while their bits are counted
+    placed = ordered_scan(lists.drop("docs", "freqs"), ["term", "part"], {"docs_at": "docs_bits", "freqs_at": "freqs_bits"})
     vocabulary = placed.select("term", "part", "df", "previous", "n", "docs_at", "freqs_at")
-    return vocabulary, placed.select("docs_at", "freqs_at", "docs", "freqs")
+    codes = lists.select("term", "part", "docs", "freqs").join(placed.select("term", "part", "docs_at", "freqs_at"), ["term", "part"])
+    return vocabulary, codes.select("docs_at", "freqs_at", "docs", "freqs")
 
 
 #: A vbyte code in hex: bytes without the top bit, then one with it.
