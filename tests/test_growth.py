@@ -85,10 +85,12 @@ def test_systems_are_scored_in_one_pass(spark, odd):
     assert len(re.findall(r"Exchange hashpartitioning\(qid#\d+L?, doc_id", plan(retrieval.scored(spark, odd, retrieval.SYSTEMS)))) == 1
 
 
-def test_pairs_of_lines_and_documents_are_not_dealt_out(spark, odd):
+def test_pairs_of_lines_and_documents_are_not_dealt_out(spark, odd, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIRS", 1)
     log = [(1, 0, "user", "gato perro"), (1, 1, "user", "come gato perro"), (2, 0, "user", "gato absent"), (3, 0, "user", "eats perro")]
     spark.createDataFrame(log, "conv_id long, turn long, role string, text string").write.parquet(f"{odd}/conversations.parquet")
     found = retrieval.query_log_boolean(spark, odd)
+    assert re.search(r"hashpartitioning\(doc_id#\d+L?, 24\)", plan(found))  # 3 lines, 8 documents
     assert "hashpartitioning(n_terms" not in plan(found) and "SortMergeJoin" not in plan(found)
     con = duckdb.connect()
     for t in ("documents", "conversations"):
